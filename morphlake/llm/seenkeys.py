@@ -35,9 +35,9 @@ class SeenKeys:
         micro-batch is a repeat whatever its ord.
         """
         spark, target = self.spark, f"{self.path}/firsts"
-        now = F.current_timestamp()
-        state = keys.where("key is not null").groupBy("key").agg(F.min(F.unix_micros(now)).alias("since"), F.min("ord").alias("ord"))
-        fresh = state.where(F.col("since") == F.unix_micros(now)).select("ord")
+        now = F.unix_micros(F.current_timestamp())  # one value for a micro-batch, also when it is run again
+        state = keys.where("key is not null").withColumn("since", now).groupBy("key").agg(F.min("since").alias("since"), F.min("ord").alias("ord"))
+        fresh = state.where(F.col("since") == now).select("ord")
 
         def keep(batch: DataFrame, number: int) -> None:  # by number: a batch that is run again replaces itself
             batch.write.mode("overwrite").parquet(f"{target}/batch={number}")
