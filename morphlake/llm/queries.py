@@ -8,9 +8,13 @@ from pyspark.sql import functions as F
 from morphlake.functions.keys import word_key
 from morphlake.llm.encoding import fit_model, restored
 from morphlake.llm.history import repeated_texts, repeated_words
+from morphlake.llm.leakage import leaks
 from morphlake.llm.lookalike import look_alikes, with_skeleton
+from morphlake.llm.mixing import mixture, packed, shares, sized
 from morphlake.llm.seenkeys import SeenKeys, first_or_repeat, wrong_answers
+from morphlake.llm.sentences import eligible, learn, sentence_units
 from morphlake.llm.termcounts import TermCounts
+from morphlake.operators.shared import written
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -88,6 +92,33 @@ def p5_wrong_rate(spark: SparkSession, d: str) -> DataFrame:
     return wrong_answers(_answers(spark, d), _keys(table(spark, d, "predictions")).unionByName(old))
 
 
+def p7_leaks(spark: SparkSession, d: str) -> DataFrame:
+    return leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return p7_leaks(spark, d).where("run >= 12").select("doc_id", "item_id").distinct()
+
+
+def _mixed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    targets = table(spark, d, "mix_targets")
+    blocks = written(packed(written(sized(table(spark, d, "documents"), targets), "mix-sizes")), "mix-numbered")
+    return mixture(blocks, targets), blocks, targets
+
+
+def p8_mixture(spark: SparkSession, d: str) -> DataFrame:
+    return _mixed(spark, d)[0]
+
+
+def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    return shares(*_mixed(spark, d))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    docs = eligible(table(spark, d, "documents"))
+    return sentence_units(docs, learn(docs))
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p2_found": p2_found,
@@ -98,6 +129,11 @@ QUERIES = {
     "p4_counts": p4_counts,
     "p5_found": p5_found,
     "p5_wrong_rate": p5_wrong_rate,
+    "p7_found": p7_found,
+    "p7_leaks": p7_leaks,
+    "p8_mixture": p8_mixture,
+    "p8_shares": p8_shares,
+    "p9_found": p9_found,
 }
 
 _KEY = r"nullif(lower(regexp_replace(regexp_replace({0}, '^[\s\x{{00A0}}\x{{2000}}-\x{{200A}}\x{{202F}}\x{{3000}}]+', ''), '[\s\x{{00A0}}\x{{2000}}-\x{{200A}}\x{{202F}}\x{{3000}}]+$', '')), '')"
