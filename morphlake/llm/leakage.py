@@ -25,7 +25,7 @@ MOST_ITEM_CHARS = 8_000_000
 def words(text: str) -> list[str]:
     """Runs of letters or digits in lower case; soft hyphens and zero-width characters don't part words."""
     if not text.isascii():
-        text = unicodedata.normalize("NFC", re.sub("[­​-‍⁠﻿]", "", text))
+        text = unicodedata.normalize("NFC", re.sub("[\u00ad\u200b-\u200d\u2060\ufeff]", "", text))
     return _WORD.findall(text.lower())
 
 

@@ -25,7 +25,7 @@ _CLOSE = "\"'»«”“’‘›‹)]}」』》）】"
 _TOKEN = re.compile(r"\S+")
 _NUMBER = re.compile(r"[\d.,:/-]*\d")
 _LIST = re.compile(r"(\d{1,3})[.)][ \t]")
-_MARKS = re.compile(r"[.!?…؟।॥。！？｡‼⁇⁈⁉]+(?:[\"'”’“‘»›)\]}」』》）】«‹]|[   ]?\r?\n?(?<=[   \n])[»›](?!\w))*")
+_MARKS = re.compile(r"[.!?…؟।॥。！？｡‼⁇⁈⁉]+(?:[\"'”’“‘»›)\]}」』》）】«‹]|[ \u00a0\u202f]?\r?\n?(?<=[ \u00a0\u202f\n])[»›](?!\w))*")
 _LAST = re.compile(r"[^\s\"'«»„“”‘’‚‹›(¿¡\[{「『“《—–*]+\Z")
 _CJK = re.compile(r"[぀-ヿ㐀-鿿豈-﫿ｦ-ﾟ]")
 _SAYS = re.compile(r"[^\s。！？…“”「」，、]{1,16}?(?:说|道|问|答|喊|写)[。！？，：]")
@@ -187,7 +187,7 @@ def _goes_on(par: str, mark: str, at: int, end: int, abbreviations: dict[str, fl
     rest = par[end:]
     if not _ALNUM.search(rest):
         return False
-    bare = mark.rstrip(_CLOSE + "   \r\n")
+    bare = mark.rstrip(_CLOSE + " \u00a0\u202f\r\n")
     closed = len(bare) < len(mark)
     gap = len(rest) - len(rest.lstrip())
     after = rest[gap:]
@@ -220,7 +220,7 @@ def _goes_on(par: str, mark: str, at: int, end: int, abbreviations: dict[str, fl
         return not (cased and (whole or par[at - 1 : at] in _CLOSE))
     if closed:
         return False
-    m = re.match(r"[\ẁ-ͯ]+(?:[.’'-]\w+)*", after[first.start() :])
+    m = re.match(r"[\w\u0300-\u036f]+(?:[.’'-]\w+)*", after[first.start() :])
     following = m[0].lower() if m else letter
     next_dot = after[first.start() + len(following) : first.start() + len(following) + 1] == "."
     if _NUMBER.fullmatch(word):
