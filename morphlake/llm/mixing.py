@@ -181,7 +181,8 @@ def mixture(blocks: DataFrame, targets: DataFrame, shard_slots: int = 50_000, se
 
         slots = spark.createDataFrame(plan, "shard bigint, j int, first bigint, n bigint").repartition("shard", "j").mapInArrow(run, schema)
     w = Window.partitionBy("shard").orderBy("slot", "source", "block", "pass")
-    held = slots.join(blocks, ["source", "block"])
+    # slots are made by a function, so Spark takes them for as small as the draws: never broadcast them
+    held = slots.hint("shuffle_merge").join(blocks, ["source", "block"])
     return held.withColumn("slot", F.row_number().over(w).cast("bigint") - 1).select("shard", "slot", "source", "block", "pass", "n_tokens", "spans")
 
 
