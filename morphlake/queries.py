@@ -234,7 +234,9 @@ def predictions_(spark, d):
 
 
 def morphemes_by_type(spark, d):
-    return _scored(spark, d).select(F.explode("morphemes").alias("m")).groupBy("m.type_id").agg(F.count("*").alias("n"), F.countDistinct("m.text").alias("texts"))
+    # explode would add a filter on the decoded array, which is pushed below the distinct and decodes every occurrence
+    rows = _scored(spark, d).select(F.explode_outer("morphemes").alias("m")).where("m is not null")
+    return rows.groupBy("m.type_id").agg(F.count("*").alias("n"), F.countDistinct("m.text").alias("texts"))
 
 
 def lexicon_scorer(spark, d):
