@@ -130,10 +130,19 @@ class Model:
     starters: dict[str, set[str]] = field(default_factory=dict)
     follows: dict[str, set[str]] = field(default_factory=dict)
 
-    def of(self, lang: str | None) -> tuple[dict[str, float], set[str], set[str]]:
+    def of(self, lang: str | None, text: str = "") -> tuple[dict[str, float], set[str], set[str]]:
+        """What holds for a text: its stated language's, and where the text uses none of that language's starters
+        but another's, that one's too; all languages' where the language isn't known."""
         lang = language(lang)
         lang = lang if lang in self.abbreviations or lang in self.starters else "und"
-        return self.abbreviations.get(lang, {}), self.starters.get(lang, set()), self.follows.get(lang, set())
+        own = self.abbreviations.get(lang, {}), self.starters.get(lang, set()), self.follows.get(lang, set())
+        if lang == "und" or own[1] and not own[1].isdisjoint(here := set(text.lower().split())) or not text:
+            return own
+        here = set(text.lower().split())
+        other = max(self.starters, key=lambda k: (k != "und") * len(here & self.starters[k]), default=lang)
+        if other in ("und", lang) or not here & self.starters[other]:
+            return own
+        return self.abbreviations.get(other, {}) | own[0], own[1] | self.starters[other], own[2] | self.follows.get(other, set())
 
 
 def eligible(df: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -148,7 +157,7 @@ def learn(docs: DataFrame) -> Model:
     found = docs.mapInArrow(_counts, "lang string, w string, w2 string, what string, n bigint").groupBy("lang", "w", "w2", "what").agg(F.sum("n").alias("n")).persist()
     try:
         one = lambda k: F.coalesce(F.sum(F.when(F.col("what") == k, F.col("n"))), F.lit(0)).alias(k if k != "U" else "big")
-        types = found.where("what <> 'pair'").groupBy("lang", "w").agg(*map(one, "nplxucbU")).withColumn("common", (F.col("l") > 0) | (F.col("b") * 2 >= F.col("big")))
+        types = found.where("what <> 'pair'").groupBy("lang", "w").agg(*map(one, "nplxucbU")).withColumn("common", (F.col("l") * 20 >= F.col("n")) & (F.col("l") > 0) | (F.col("b") >= 5) & (F.col("b") >= 0.9 * F.col("big")))
         totals = types.groupBy("lang").agg(F.sum("n").alias("all"), F.sum("p").alias("dots"))
         rate = F.greatest(F.least(F.col("dots") / F.col("all"), F.lit(0.98)), F.lit(1e-9))
         ratio = 2 * (F.col("p") * (F.log(F.lit(0.99)) - F.log(rate)) + (F.col("n") - F.col("p")) * (F.log(F.lit(0.01)) - F.log(1 - rate)))
@@ -162,7 +171,7 @@ def learn(docs: DataFrame) -> Model:
         goes_on = F.col("x") >= 0.05 * F.col("p")
         names = (F.col("m") - F.col("starts") >= 0.5 * F.col("m")) & (F.col("m") > 0) & ((letters <= 3) | (F.col("names") >= 4))
         caseless = (F.col("u") == 0) & (F.col("x") == 0) & (F.col("c") > 0) & (letters <= 3)
-        abbreviations = judged.where((letters > 0) & (letters <= 12) & (goes_on | names | caseless)).select("lang", "w", (F.col("starts") / F.greatest("m", F.lit(1))).alias("share")).persist()
+        abbreviations = judged.where((letters > 0) & (letters <= 12) & (goes_on | names | caseless)).select("lang", "w", F.when((F.col("m") >= 3) & (F.col("m") >= 0.05 * F.col("p")), F.col("starts") / F.col("m")).otherwise(0.0).alias("share")).persist()
         model = Model()
         for r in abbreviations.collect():
             for lang in {r.lang, "und"}:
@@ -206,7 +215,12 @@ def _goes_on(par: str, mark: str, at: int, end: int, abbreviations: dict[str, fl
         return False
     strong = bare.strip(".…") != ""
     if letter.islower():
-        return True
+        if closed or led or not gap or bare == "…" or len(bare) > 1 and not strong or any(map(str.isupper, par)):
+            return True
+        # nobody writes capitals here: only abbreviations and numbers keep a sentence going
+        last = _LAST.search(par, 0, at)
+        word = (last[0] if last else "").lower()
+        return not strong and (word in abbreviations or len(word) == 1 or bool(_NUMBER.fullmatch(word)))
     if strong:
         return not gap and not closed and not letter.isupper()
     cased = letter.isupper()
@@ -282,7 +296,7 @@ def sentence_units(docs: DataFrame, model: Model) -> DataFrame:
             ids, ends = [], []
             for i, text, lang in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 if text:
-                    own = unit_ends(text, *model.of(lang))
+                    own = unit_ends(text, *model.of(lang, text))
                     ids += [i] * len(own)
                     ends += own
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(ends, pa.int64())], names=["doc_id", "end_pos"])
