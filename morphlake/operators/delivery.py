@@ -61,7 +61,7 @@ def keep_bitmaps(spark: SparkSession, path: str, keys: tuple[Column, Column], or
 def _bit() -> Column:
     """Whether the bitmap column `bits` holds the row's place."""
     spot = f"bitmap_bit_position({_POS} + 1)"
-    byte = f"cast(conv(hex(substring(bits, cast({spot} div 8 as int) + 1, 1)), 16, 10) as int)"
+    byte = f"cast(conv(hex(substring(__bits, cast({spot} div 8 as int) + 1, 1)), 16, 10) as int)"
     return F.expr(f"coalesce((shiftright({byte}, cast({spot} % 8 as int)) & 1) = 1, false)")
 
 
@@ -105,7 +105,7 @@ def _flagged(spark: SparkSession, path: str, bitmaps: str, columns: list[str], k
     bits = spark.read.schema("file bigint, block bigint, bits binary").parquet(bitmaps)
     if bits.count() * (ROWS_A_BITMAP // 8) <= most_broadcast:
         block = F.expr(f"bitmap_bucket_number({_POS} + 1)")
-        held = needed.withColumn("__block", block).join(F.broadcast(bits.select(F.col("file").alias(_FILE), F.col("block").alias("__block"), "bits")), [_FILE, "__block"], "left")
+        held = needed.withColumn("__block", block).join(F.broadcast(bits.select(F.col("file").alias(_FILE), F.col("block").alias("__block"), F.col("bits").alias("__bits"))), [_FILE, "__block"], "left")
         marked = held.withColumn("__won", _bit())
     else:
         marked = _side_loaded(needed, bitmaps, "__won")
