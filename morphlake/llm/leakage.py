@@ -110,9 +110,6 @@ class Items:
                     x, y = x + 1, y + 1
                 if x - a >= self.min_words:
                     done.add((item, d - p))
-                # e errors leave a run of a (1/(e+1))th of the rest: below that, another piece of the passage decides
-                if item not in found and (x - a) * (self.errors + 1) < self.min_words - self.errors:
-                    continue
                 if self._verified(w, doc, p, d, item in found):
                     found[item] = max(found.get(item, 0), x - a)
         return found
@@ -122,7 +119,12 @@ class Items:
         if known:
             return True
         n, e = self.min_words, self.errors
-        for start in range(max(0, p - n + 1), min(p, len(w) - n) + 1):
+        first, last = max(0, p - n + 1), min(p, len(w) - n)
+        near = set(doc[max(0, d - n + 1 - e) : d + n + e])
+        there = [x in near for x in w[first : last + n]]
+        for start in range(first, last + 1):
+            if sum(there[start - first : start - first + n]) < n - e:  # so many of its words aren't even near
+                continue
             lo, hi = d - (p - start) - e, d - (p - start) + n + e
             if myers(w[start : start + n], doc[max(0, lo) : max(0, hi)], e)[0] <= e:
                 return True
