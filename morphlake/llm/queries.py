@@ -14,7 +14,7 @@ from morphlake.llm.mixing import mixture, packed, shares, sized
 from morphlake.llm.seenkeys import SeenKeys, first_or_repeat, wrong_answers
 from morphlake.llm.sentences import eligible, learn, sentence_units
 from morphlake.llm.termcounts import TermCounts
-from morphlake.operators.shared import written
+from morphlake.operators.shared import spread, written
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -31,30 +31,30 @@ def streamed(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    texts = repeated_texts(table(spark, d, "get_batch"), fit_model(table(spark, d, "base_dict")))
+    texts = repeated_texts(spread(table(spark, d, "get_batch").select("row_id", "stage", "text")), fit_model(table(spark, d, "base_dict")))
     words = repeated_words(table(spark, d, "predictions"), table(spark, d, "seen"))
     return texts.select(F.lit("get_batch").alias("tab"), "row_id").unionByName(words.select(F.lit("predictions").alias("tab"), "row_id"))
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    return restored(table(spark, d, "get_batch"), fit_model(table(spark, d, "base_dict"))).select("row_id")
+    return restored(spread(table(spark, d, "get_batch").select("row_id", "text")), fit_model(table(spark, d, "base_dict"))).select("row_id")
 
 
 def p2_restored(spark: SparkSession, d: str) -> DataFrame:
-    return restored(table(spark, d, "get_batch"), fit_model(table(spark, d, "base_dict")))
+    return restored(spread(table(spark, d, "get_batch").select("row_id", "text")), fit_model(table(spark, d, "base_dict")))
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    return look_alikes(table(spark, d, "get_batch"))
+    return look_alikes(spread(table(spark, d, "get_batch").select("row_id", "text")))
 
 
 def p3_consistent(spark: SparkSession, d: str) -> DataFrame:
-    return with_skeleton(table(spark, d, "get_batch").select("row_id", "text"), "text", "consistent").select("row_id", "consistent")
+    return with_skeleton(spread(table(spark, d, "get_batch").select("row_id", "text")), "text", "consistent").select("row_id", "consistent")
 
 
 def term_counts(spark: SparkSession, d: str) -> TermCounts:
     """Counts of the accepted batches, then the new batches merged in as a delta."""
-    rows = table(spark, d, "get_batch").select("stage", "text")
+    rows = spread(table(spark, d, "get_batch").select("stage", "text"))
     counts = TermCounts(spark)
     counts.apply(rows.where("stage is null or stage <> 'new'"))
     return counts.apply(rows.where("stage = 'new'"))
@@ -93,7 +93,7 @@ def p5_wrong_rate(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_leaks(spark: SparkSession, d: str) -> DataFrame:
-    return leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
+    return leaks(spread(table(spark, d, "documents").select("doc_id", "text")), table(spark, d, "eval_items"))
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
@@ -102,7 +102,7 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 
 def _mixed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     targets = table(spark, d, "mix_targets")
-    blocks = written(packed(written(sized(table(spark, d, "documents"), targets), "mix-sizes")), "mix-numbered")
+    blocks = written(packed(written(sized(spread(table(spark, d, "documents").select("doc_id", "source", "text")), targets), "mix-sizes")), "mix-numbered")
     return mixture(blocks, targets), blocks, targets
 
 
@@ -115,7 +115,7 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
-    docs = eligible(table(spark, d, "documents"))
+    docs = eligible(spread(table(spark, d, "documents").select("doc_id", "text", "lang", "ctype", "cte")))
     return sentence_units(docs, learn(docs))
 
 
