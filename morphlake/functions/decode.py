@@ -12,16 +12,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from morphlake.functions.encode import chars, label_parts, literal_map
+from morphlake.functions.encode import chars, ints, label_parts, literal_map
 from morphlake.schema import LABELS, MORPHEME_TYPES, MORPHEMES
 
 
 def tag_columns(tags: Column, by_name: bool = False, labels: Mapping[str, int] = LABELS) -> Column:
     """Array of (prefix, type_id) for tag ids (or label names); unknown ones count as a single root."""
     parts = label_parts(labels)
-    keys = {name: parts[i] for name, i in labels.items()} if by_name else parts
-    prefix, kind = literal_map({k: p for k, (p, _) in keys.items()}), literal_map({k: t for k, (_, t) in keys.items()})
-    return F.transform(tags, lambda t: F.struct(F.coalesce(F.try_element_at(prefix, t), F.lit("S")).alias("prefix"), F.coalesce(F.try_element_at(kind, t), F.lit(MORPHEME_TYPES["ROOT"])).alias("type_id")))
+    root = F.lit(MORPHEME_TYPES["ROOT"])
+    if by_name:
+        prefix, kind = (literal_map({name: parts[i][k] for name, i in labels.items()}) for k in (0, 1))
+        look = lambda table, t: F.try_element_at(table, t)
+    else:  # ids are few and small: constant arrays
+        most = max(parts) + 1
+        prefix = F.split(F.lit(",".join(parts.get(i, ("S", 0))[0] for i in range(most))), ",")
+        kind = ints([parts.get(i, ("S", MORPHEME_TYPES["ROOT"]))[1] for i in range(most)])
+        look = F.get
+    return F.transform(tags, lambda t: F.struct(F.coalesce(look(prefix, t), F.lit("S")).alias("prefix"), F.coalesce(look(kind, t), root).alias("type_id")))
 
 
 def segments(word: Column, tags: Column, confs: Column, repair: bool = True) -> Column:

@@ -19,11 +19,27 @@ def chars(word: Column | str) -> Column:
     return F.regexp_extract_all(F.col(word) if isinstance(word, str) else word, F.lit("(?s)(.)"), F.lit(1))
 
 
+def ints(values: list[int]) -> Column:
+    """A constant array, folded once when the plan is optimized."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<int>")
+
+
+def char_id(c: Column, vocab: Mapping[str, int]) -> Column:
+    """Id of one character: looked up by code point in a constant array where the vocabulary's code points lie
+    close together, else in a map."""
+    codes = {ord(k): i for k, i in vocab.items() if len(k) == 1}
+    unk = vocab.get(UNK, 1)
+    if codes and max(codes) - min(codes) < 4096:
+        low = min(codes)
+        table = ints([codes.get(k, unk) for k in range(low, max(codes) + 1)])
+        return F.coalesce(F.get(table, F.ascii(c) - low), F.lit(unk))
+    return F.coalesce(F.try_element_at(literal_map(vocab), c), F.lit(unk))
+
+
 def encoded(word: Column | str, vocab: Mapping[str, int] = CHARS, lower: bool = False, most: int | None = None) -> Column:
     """Ids of the characters of a word; unknown ones get the id of <UNK>. most cuts longer words."""
     col = F.col(word) if isinstance(word, str) else word
-    table = literal_map(vocab)
-    ids = F.transform(chars(F.lower(col) if lower else col), lambda c: F.coalesce(F.try_element_at(table, c), F.lit(vocab.get(UNK, 1))))
+    ids = F.transform(chars(F.lower(col) if lower else col), lambda c: char_id(c, vocab))
     return F.slice(ids, 1, most) if most else ids
 
 

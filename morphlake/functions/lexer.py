@@ -25,18 +25,27 @@ def tokens(text: Column | str, mask: int = ALL_TOKENS) -> Column:
 
 
 def token_type(token: Column) -> Column:
-    """Type of a token by its first character."""
+    """Type of a token by the code point of its first character: comparisons of integers, compiled with the plan."""
+    c = F.ascii(token)
+    within = lambda *spans: F.lit(False) if not spans else _any([c.between(a, z) for a, z in spans])
     return (
-        F.when(token.rlike("^[А-Яа-яЁё]"), TokenType.RUWORD.value)
-        .when(token.rlike("^[A-Za-z]"), TokenType.ENWORD.value)
-        .when(token.rlike("^[0-9]"), TokenType.NUMBER.value)
-        .when(token.isin(" ", "\u00a0"), TokenType.WRDSPC.value)
-        .when(token == "\n", TokenType.NWLINE.value)
-        .when(token.rlike(f"^{PUNCTUATION}"), TokenType.PNCTTN.value)
+        F.when(within((0x410, 0x44F)) | c.isin(0x401, 0x451), TokenType.RUWORD.value)
+        .when(within((65, 90), (97, 122)), TokenType.ENWORD.value)
+        .when(within((48, 57)), TokenType.NUMBER.value)
+        .when(c.isin(0x20, 0xA0), TokenType.WRDSPC.value)
+        .when(c == 10, TokenType.NWLINE.value)
+        .when(within((33, 47), (58, 64), (91, 96), (123, 126), (0x2010, 0x201F), (0x2024, 0x2027)) | c.isin(0xB7, 0xAB, 0xBB, 0x2116), TokenType.PNCTTN.value)
         .otherwise(TokenType.UNKNWN.value)
     )
 
 
+def _any(conditions: list[Column]) -> Column:
+    out = conditions[0]
+    for x in conditions[1:]:
+        out = out | x
+    return out
+
+
 def exploded(df: DataFrame, text_col: str = "text", mask: int = ALL_TOKENS, least: int = 0, most: int = 512, drop_last: bool = False) -> DataFrame:
     """df without text_col, a row for each token: pos (from 0, before any filter), text, type, size (code points).
 

@@ -37,6 +37,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A freshly read df in as many partitions as there are cores, if it has fewer; else as it is.
+
+    For row-local work that costs more than moving the rows: a small file is one split and would keep one core
+    busy. A table with splits for every core, as any large one has, is never moved.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a table of the shared folder; a missing one is no error."""
     jvm = spark.sparkContext._jvm

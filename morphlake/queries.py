@@ -17,7 +17,7 @@ from morphlake.operators.batches import with_batch
 from morphlake.operators.delivery import delivered_once, superfluous
 from morphlake.operators.lexicon import first_occurrences, latest, lookup, mark_seen, members, not_in, promoted, sizes, unseen
 from morphlake.operators.scorers import ArithmeticScorer, LexiconScorer
-from morphlake.operators.shared import new_path, written
+from morphlake.operators.shared import new_path, spread, written
 from morphlake.plans.engine import Engine, predictions
 from morphlake.schema import CHARS, LABELS, MORPHEME_NAMES, MORPHEME_TYPES
 from morphlake.sinks.logs import LogWriter
@@ -30,7 +30,7 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 
 def texts(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "get_batch").select("row_id", "text")
+    return spread(table(spark, d, "get_batch").select("row_id", "text"))
 
 
 def ru_words(spark: SparkSession, d: str) -> DataFrame:
