@@ -97,15 +97,18 @@ def classes(df: DataFrame, id_col: str = "row_id", text_col: str = "text") -> Da
 def look_alikes(df: DataFrame, id_col: str = "row_id", text_col: str = "text") -> DataFrame:
     """row_a < row_b: rows whose texts differ in characters but have one skeleton.
 
-    Skeletons are first counted by text: a group of exact copies, however large, ends as one pre-aggregated
-    entry, and only rows of skeletons with two or more different texts are joined, text class with text class.
-    Null texts and texts without letter or digit give no rows; repeated rows give one row each pair.
+    Rows are first counted by skeleton and text: a group of exact copies, however large, is one entry there.
+    Pairs are made between different texts of one skeleton, and only then joined to the rows that have them, so
+    the work is that of listing the result; copies of one text are never held against each other. Null texts and
+    texts without letter or digit give no rows; a row that is repeated gives each of its pairs once.
     """
     rows = written(classes(df, id_col, text_col), "skeletons")
-    texts = rows.groupBy("skeleton", "exact").agg(F.lit(1).alias("one"))
+    texts = rows.select("skeleton", "exact").distinct()
     mixed = texts.groupBy("skeleton").agg(F.count("*").alias("n")).where("n > 1").select("skeleton")
-    held = rows.join(mixed, "skeleton", "left_semi")
-    a = held.select("skeleton", F.col("exact").alias("exact_a"), F.col("row_id").alias("row_a"))
-    b = held.select("skeleton", F.col("exact").alias("exact_b"), F.col("row_id").alias("row_b"))
-    pairs = a.join(b, "skeleton").where("exact_a <> exact_b and row_a < row_b")
-    return pairs.select("row_a", "row_b").distinct()
+    held = written(rows.join(mixed, "skeleton", "left_semi").distinct(), "look-alikes")
+    kinds = held.select("skeleton", "exact").distinct()
+    pairs = kinds.alias("x").join(kinds.alias("y"), "skeleton").where("x.exact < y.exact").select(F.col("x.exact").alias("exact_x"), F.col("y.exact").alias("exact_y"))
+    x = held.select(F.col("exact").alias("exact_x"), F.col("row_id").alias("row_x"))
+    y = held.select(F.col("exact").alias("exact_y"), F.col("row_id").alias("row_y"))
+    both = pairs.join(x, "exact_x").join(y, "exact_y")
+    return both.select(F.least("row_x", "row_y").alias("row_a"), F.greatest("row_x", "row_y").alias("row_b"))
