@@ -18,10 +18,11 @@ def not_in(words: DataFrame, lexicon: DataFrame) -> DataFrame:
     return words.where("word is not null").join(_keys(lexicon), "word", "left_anti")
 
 
-def unseen(words: DataFrame, seen: DataFrame, least: int = 1, most: int = MAX_WORD) -> DataFrame:
-    """word: the distinct words of the right length that were not seen, shortest first, then by word."""
+def unseen(words: DataFrame, seen: DataFrame, least: int = 1, most: int = MAX_WORD, ordered: bool = True) -> DataFrame:
+    """word: the distinct words of the right length that were not seen; ordered: shortest first, then by word."""
     right = words.where(F.char_length("word").between(least, most)).select("word").distinct()
-    return right.join(_keys(seen), "word", "left_anti").orderBy(F.char_length("word"), "word")
+    new = right.join(_keys(seen), "word", "left_anti")
+    return new.orderBy(F.char_length("word"), "word") if ordered else new
 
 
 def members(words: DataFrame, *registries: DataFrame) -> DataFrame:

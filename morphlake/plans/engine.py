@@ -80,7 +80,7 @@ class Engine:
     def new_words(self, what) -> DataFrame:
         """word: the words of a source that neither the base dictionary nor the log has."""
         found = words(source(self.spark, what), "text", 1, self.most)
-        return unseen(not_in(found.select("word"), self.base), self.seen(), 1, self.most)
+        return unseen(not_in(found.select("word"), self.base), self.seen(), 1, self.most, ordered=False)  # scorers sort out lengths themselves
 
     def process(self, what) -> DataFrame:
         """Score the new words of a source once each, append them to the log; returns what was appended."""

@@ -36,6 +36,6 @@ def process_stream(stream: DataFrame, scorer: Scorer, base: DataFrame, writer: L
     def one(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         found = words(batch.select(text_col), text_col).select("word")
-        writer.write(predictions(unseen(not_in(found, base), writer.read(spark).select("word")), scorer))
+        writer.write(predictions(unseen(not_in(found, base), writer.read(spark).select("word"), ordered=False), scorer))
 
     stream.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
