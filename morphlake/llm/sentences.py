@@ -24,7 +24,6 @@ _OPEN = "\"'«»„“”‘’‚‹›(¿¡[{—–-*「『“《"
 _CLOSE = "\"'»«”“’‘›‹)]}」』》）】"
 _TOKEN = re.compile(r"\S+")
 _NUMBER = re.compile(r"[\d.,:/-]*\d")
-_LIST = re.compile(r"(\d{1,3})[.)][ \t]")
 _MARKS = re.compile(r"[.!?…؟।॥。！？｡‼⁇⁈⁉]+(?:[\"'”’“‘»›)\]}」』》）】«‹]|[ \u00a0\u202f]?\r?\n?(?<=[ \u00a0\u202f\n])[»›](?!\w))*")
 _LAST = re.compile(r"[^\s\"'«»„“”‘’‚‹›(¿¡\[{「『“《—–*]+\Z")
 _CJK = re.compile(r"[぀-ヿ㐀-鿿豈-﫿ｦ-ﾟ]")
@@ -191,11 +190,15 @@ def learn(docs: DataFrame) -> Model:
         found.unpersist()
 
 
-def _goes_on(par: str, mark: str, at: int, end: int, abbreviations: dict[str, float], starters: set[str], follows: set[str]) -> bool:
-    """Whether the sentence goes on after the mark (with closing quotes) par[at:end]."""
-    rest = par[end:]
-    if not _ALNUM.search(rest):
+def _goes_on(par: str, mark: str, at: int, end: int, capitals: bool, abbreviations: dict[str, float], starters: set[str], follows: set[str]) -> bool:
+    """Whether the sentence goes on after the mark (with closing quotes) par[at:end].
+
+    Looks no further than the words around the mark: a paragraph may be very long.
+    """
+    ahead = _ALNUM.search(par, end)
+    if not ahead:
         return False
+    rest = par[end : ahead.start() + 100]
     bare = mark.rstrip(_CLOSE + " \u00a0\u202f\r\n")
     closed = len(bare) < len(mark)
     gap = len(rest) - len(rest.lstrip())
@@ -215,10 +218,10 @@ def _goes_on(par: str, mark: str, at: int, end: int, abbreviations: dict[str, fl
         return False
     strong = bare.strip(".…") != ""
     if letter.islower():
-        if closed or led or not gap or bare == "…" or len(bare) > 1 and not strong or any(map(str.isupper, par)):
+        if closed or led or not gap or bare == "…" or len(bare) > 1 and not strong or capitals:
             return True
         # nobody writes capitals here: only abbreviations and numbers keep a sentence going
-        last = _LAST.search(par, 0, at)
+        last = _LAST.search(par, max(0, at - 80), at)
         word = (last[0] if last else "").lower()
         return not strong and (word in abbreviations or len(word) == 1 or bool(_NUMBER.fullmatch(word)))
     if strong:
@@ -226,7 +229,7 @@ def _goes_on(par: str, mark: str, at: int, end: int, abbreviations: dict[str, fl
     cased = letter.isupper()
     if len(bare) > 1 or bare == "…":  # ellipsis
         return not (cased or letter.isdigit() and gap)
-    last = _LAST.search(par, 0, at)
+    last = _LAST.search(par, max(0, at - 80), at)
     word = last[0] if last else ""
     if not gap and not closed:
         # no blank: an end only between whole words, or after a closing quote
@@ -269,14 +272,16 @@ def unit_ends(text: str, abbreviations: dict[str, float], starters: set[str], fo
         if listed:
             ends += [a + i + len(par[i:k].rstrip()) for i, k in listed if _ALNUM.search(par[i:k])]
             continue
-        start = 0
+        start, capitals = 0, None
         for m in _MARKS.finditer(par):
             mark, end = m[0], m.end()
             while _opens(mark, par, start, end):
                 mark, end = mark[:-1], end - 1
             if not mark or not _ALNUM.search(par, start, end):
                 continue
-            if not _goes_on(par, mark, m.start(), end, abbreviations, starters, follows):
+            if capitals is None:
+                capitals = any(map(str.isupper, par))
+            if not _goes_on(par, mark, m.start(), end, capitals, abbreviations, starters, follows):
                 ends.append(a + end)
                 start = end
         if _ALNUM.search(par, start):
