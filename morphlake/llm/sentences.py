@@ -13,7 +13,7 @@ from collections import Counter
 from dataclasses import dataclass, field
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Least log-likelihood ratio (chi-square, one degree of freedom, p < 0.005), and least share of a type's occurrences with a period.
@@ -144,6 +144,14 @@ class Model:
         return self.abbreviations.get(other, {}) | own[0], own[1] | self.starters[other], own[2] | self.follows.get(other, set())
 
 
+def _ratio(a: Column, b: Column, both: Column, n: Column) -> Column:
+    """Dunning's log-likelihood ratio of two events with counts a and b among n and both together; 0 where they
+    come together no more often than chance has it."""
+    part = lambda x: F.when(x > 0, x * F.log(x.cast("double"))).otherwise(0.0)
+    cells = part(both) + part(a - both) + part(b - both) + part(n - a - b + both)
+    return F.when(both.cast("double") * n > a.cast("double") * b, 2 * (cells + part(n) - part(a) - part(n - a) - part(b) - part(n - b))).otherwise(0.0)
+
+
 def eligible(df: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """doc_id, text, lang of the documents whose text is plain: ctype text/plain, cte 7bit or 8bit."""
     plain = (F.lower(F.trim("ctype")) == "text/plain") & F.lower(F.trim("cte")).isin("7bit", "8bit") & F.col("text").isNotNull()
@@ -157,13 +165,15 @@ def learn(docs: DataFrame) -> Model:
     try:
         one = lambda k: F.coalesce(F.sum(F.when(F.col("what") == k, F.col("n"))), F.lit(0)).alias(k if k != "U" else "big")
         types = found.where("what <> 'pair'").groupBy("lang", "w").agg(*map(one, "nplxucbU")).withColumn("common", (F.col("l") * 20 >= F.col("n")) & (F.col("l") > 0) | (F.col("b") >= 5) & (F.col("b") >= 0.9 * F.col("big")))
-        totals = types.groupBy("lang").agg(F.sum("n").alias("all"), F.sum("p").alias("dots"))
+        numbers = F.coalesce(F.sum(F.when(F.col("w") == NUMBER, F.col("p"))), F.lit(0)).alias("numbers")
+        totals = types.groupBy("lang").agg(F.sum("n").alias("all"), F.sum("p").alias("dots"), F.sum("b").alias("breaks"), numbers)
         rate = F.greatest(F.least(F.col("dots") / F.col("all"), F.lit(0.98)), F.lit(1e-9))
         ratio = 2 * (F.col("p") * (F.log(F.lit(0.99)) - F.log(rate)) + (F.col("n") - F.col("p")) * (F.log(F.lit(0.01)) - F.log(1 - rate)))
         often = types.join(F.broadcast(totals), "lang").where((F.col("p") >= LEAST_SHARE * F.col("n")) & (F.col("p") > 1) & (ratio >= LEAST_RATIO) & (F.col("w") != NUMBER))
         pairs = found.where("what = 'pair'").select("lang", "w", F.col("w2"), F.col("n").alias("m"))
+        scored = types.join(F.broadcast(totals), "lang").withColumn("opens", _ratio(F.col("breaks"), F.col("n"), F.col("b"), F.col("all")) >= LEAST_RATIO)
         # of the capitals after a type and its period: how many are words that are also written small
-        after = pairs.join(types.select("lang", F.col("w").alias("w2"), "common", "big"), ["lang", "w2"])
+        after = pairs.join(scored.select("lang", F.col("w").alias("w2"), "common", "opens", F.col("n").alias("n2"), "numbers", "all"), ["lang", "w2"])
         kinds = after.groupBy("lang", "w").agg(F.sum(F.when(F.col("common"), F.col("m"))).alias("starts"), F.sum("m").alias("m"), F.count(F.when(~F.col("common"), 1)).alias("names"))
         judged = often.join(kinds, ["lang", "w"], "left").fillna(0, ["starts", "m", "names"])
         letters = F.length(F.regexp_replace("w", r"[^\p{L}\p{M}]", ""))
@@ -176,11 +186,12 @@ def learn(docs: DataFrame) -> Model:
             for lang in {r.lang, "und"}:
                 model.abbreviations.setdefault(lang, {})[r.w] = r.share
         met = after.join(F.broadcast(abbreviations.select("lang", "w")), ["lang", "w"], "left_semi").unionByName(after.where(F.col("w") == NUMBER))
-        for r in met.where("common").select("lang", "w2").distinct().collect():
+        for r in met.where("common and opens").select("lang", "w2").distinct().collect():
             for lang in {r.lang, "und"}:
                 model.starters.setdefault(lang, set()).add(r.w2)
-        # a word that mostly stands after a number and a period is bound to it
-        bound = after.where((F.col("w") == NUMBER) & ~F.col("common") & (F.col("m") * 2 >= F.col("big")) & (F.col("m") > 1))
+        # a word that stands after a number and a period more often than chance has it, and starts no sentences, is bound to it
+        tied = _ratio(F.col("numbers"), F.col("n2"), F.col("m"), F.col("all")) >= LEAST_RATIO
+        bound = after.where((F.col("w") == NUMBER) & ~F.col("common") & ~F.col("opens") & tied & (F.col("m") > 1))
         for r in bound.select("lang", "w2").distinct().collect():
             for lang in {r.lang, "und"}:
                 model.follows.setdefault(lang, set()).add(r.w2)

@@ -128,3 +128,17 @@ def test_learning(spark):
     assert learn(rows.limit(0)) == Model() and sentence_units(rows.limit(0), model).count() == 0
     assert model.of("xx")[0] == model.abbreviations["und"]
     assert words("Ab­c d-e") == ["abc", "d", "e"]
+
+
+def test_chance_is_not_learned(spark):
+    rng = random.Random(8)
+    en = ["The pump saw Dr. Venn near the garden.", "We met Rose at noon.", "The rose was red.", "We met Rose and Venn here."]
+    de = ["Am 3. Oktober kam die Pumpe.", "Der Oktober war kalt.", "Es war im Oktober.", "Die Pumpe kam."]
+    rows = [(i, "H: x\n\n" + " ".join(rng.choice(s) for _ in range(8)), lang) for i in range(100) for lang, s in (("en", en), ("de", de))]
+    rows += [(500, "H: x\n\nThe pump saw Dr. Rose near the garden.", "en"), (501, "H: x\n\nAm 3. Pumpe.", "de")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    model = learn(df)
+    assert "dr" in model.abbreviations["en"] and "rose" not in model.starters.get("en", set())  # once after dr., seldom after a break
+    assert model.follows["de"] == {"oktober"}  # also where most of its uses stand elsewhere
+    ends = {r.doc_id: r["count"] for r in sentence_units(df.where("doc_id >= 500"), model).groupBy("doc_id").count().collect()}
+    assert ends[500] == 1
