@@ -14,22 +14,13 @@ from morphlake.llm.mixing import mixture, packed, shares, sized
 from morphlake.llm.seenkeys import SeenKeys, first_or_repeat, wrong_answers
 from morphlake.llm.sentences import eligible, learn, sentence_units
 from morphlake.llm.termcounts import TermCounts
-from morphlake.operators.shared import spread, written
+from morphlake.operators.shared import new_path, spread, written
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
-def streamed(spark: SparkSession, d: str, name: str) -> DataFrame:
-    """A table as a stream; one that is a single file is read from its folder by name."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{d}/{name}.parquet")
-    reader = spark.readStream.schema(table(spark, d, name).schema)
-    if path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(path).isDirectory():
-        return reader.parquet(f"{d}/{name}.parquet")
-    return reader.option("pathGlobFilter", f"{name}.parquet").parquet(d)
-
-
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     texts = repeated_texts(spread(table(spark, d, "get_batch").select("row_id", "stage", "text")), fit_model(table(spark, d, "base_dict")))
     words = repeated_words(table(spark, d, "predictions"), table(spark, d, "seen"))
@@ -73,9 +64,13 @@ def _keys(rows: DataFrame) -> DataFrame:
 
 
 def _seen_keys(spark: SparkSession, d: str) -> DataFrame:
-    """The stream of all rows, and of the words of earlier sessions before them, through the state store."""
-    old = streamed(spark, d, "seen").select(word_key("word").alias("key"), F.lit(-1).cast("bigint").alias("ord"))
-    return SeenKeys(spark).run(_keys(streamed(spark, d, "predictions")).unionByName(old))
+    """The words of earlier sessions, then the accepted, then the new rows, each a run against the stored state."""
+    rows, folder, state = table(spark, d, "predictions"), new_path(spark, "keys"), SeenKeys(spark)
+    old = table(spark, d, "seen").select(word_key("word").alias("key"), F.lit(-1).cast("bigint").alias("ord"))
+    for part in (old, _keys(rows.where("stage is null or stage <> 'new'")), _keys(rows.where("stage = 'new'"))):
+        part.where("key is not null").write.mode("append").parquet(folder)
+        state.run(spark.readStream.schema("key string, ord bigint").parquet(folder))
+    return state.firsts()
 
 
 def _answers(spark: SparkSession, d: str) -> DataFrame:

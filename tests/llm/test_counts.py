@@ -81,6 +81,26 @@ def test_hot_key_and_batches(spark, tmp_path):
     assert SeenKeys(spark, str(tmp_path / "none")).firsts().count() == 0
 
 
+def test_keys_meet_the_stored_state(spark, tmp_path, monkeypatch):
+    from morphlake.llm import queries
+
+    def state(spark):
+        return SeenKeys(spark, str(tmp_path / "state"))
+
+    monkeypatch.setattr(queries, "SeenKeys", state)
+    rows = [(1, "accepted", "кот"), (2, None, "дом"), (3, "new", " Кот "), (4, "new", "лес"), (5, "new", "лес"), (6, "new", "Старое"), (7, "new", None)]
+    spark.createDataFrame(rows, "row_id bigint, stage string, word string").write.parquet(str(tmp_path / "predictions.parquet"))
+    spark.createDataFrame([("старое",), (None,)], "word string").write.parquet(str(tmp_path / "seen.parquet"))
+    assert sorted(r.row_id for r in queries.p5_found(spark, str(tmp_path)).collect()) == [3, 5, 6]
+    runs = spark.read.parquet(str(tmp_path / "state" / "firsts")).groupBy("batch").count().collect()
+    assert sorted((r.batch, r["count"]) for r in runs) == [(0, 1), (1, 2), (2, 1)]  # seen, accepted, new
+    late = [(1, "new", "кот"), (2, "accepted", "кот"), (3, "new", "дом")]  # a new row before an accepted one shows as a wrong answer
+    spark.createDataFrame(late, "row_id bigint, stage string, word string").write.parquet(str(tmp_path / "late" / "predictions.parquet"))
+    spark.createDataFrame([("x",)], "word string").write.parquet(str(tmp_path / "late" / "seen.parquet"))
+    monkeypatch.setattr(queries, "SeenKeys", SeenKeys)
+    assert queries.p5_wrong_rate(spark, str(tmp_path / "late")).first() == (2, 1, 1, 0.5)
+
+
 def test_wrong_answers_are_counted(spark):
     history = spark.createDataFrame([("a", 1), ("a", 2), ("b", -1), ("b", 3), (None, 4)], "key string, ord bigint")
     right = spark.createDataFrame([(1, "a", False), (2, "a", True), (3, "b", True), (4, None, None)], "row_id bigint, key string, repeat boolean")
