@@ -21,8 +21,17 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+#: Arrivals in which p1_found takes in the accepted batches, in the order of their numbers.
+ARRIVALS = 3
+
+
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    texts = repeated_texts(spread(table(spark, d, "get_batch").select("row_id", "stage", "text")), fit_model(table(spark, d, "base_dict")))
+    rows = spread(table(spark, d, "get_batch").select("row_id", "batch_id", "stage", "text"))
+    new = F.coalesce(F.col("stage") == "new", F.lit(False))
+    least, most = rows.where(~new).agg(F.min("batch_id"), F.max("batch_id")).first()
+    step = max(1, -(-((most or 0) - (least or 0) + 1) // ARRIVALS))
+    arrival = F.coalesce(F.least(F.floor((F.col("batch_id") - (least or 0)) / step), F.lit(ARRIVALS - 1)), F.lit(0))
+    texts = repeated_texts([rows.where(~new & (arrival == k)) for k in range(ARRIVALS)], rows.where(new), fit_model(table(spark, d, "base_dict")))
     words = repeated_words(table(spark, d, "predictions"), table(spark, d, "seen"))
     return texts.select(F.lit("get_batch").alias("tab"), "row_id").unionByName(words.select(F.lit("predictions").alias("tab"), "row_id"))
 
