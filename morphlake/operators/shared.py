@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import json
 import os
 import tempfile
 import uuid
 import zipfile
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -54,6 +56,56 @@ def remove(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+@contextmanager
+def set_for(spark: SparkSession, settings: dict[str, str]):
+    """Session settings for a while; those before come back."""
+    before = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+class StateFiles:
+    """The state of something stored in a folder, as numbered JSON files of which the last one holds.
+
+    Each is written whole beside them and then gets its name, so a run that dies leaves the state before it.
+    """
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+
+    def _folder(self):
+        self._of = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        at = self._of(self.path)
+        return at, at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _names(self) -> list[str]:
+        at, fs = self._folder()
+        names = [f.getPath().getName() for f in fs.listStatus(at)] if fs.exists(at) else []
+        return sorted(n for n in names if n.startswith("state-"))
+
+    def load(self) -> dict | None:
+        """The last state; None before the first."""
+        names = self._names()
+        return json.loads(self.spark.read.text(f"{self.path}/{names[-1]}", wholetext=True).first()[0]) if names else None
+
+    def save(self, state: dict) -> None:
+        names, (at, fs) = self._names(), self._folder()
+        number = int(names[-1].split("-")[1]) + 1 if names else 0
+        draft = self._of(at, f"_draft-{uuid.uuid4().hex}")
+        out = fs.create(draft, True)
+        out.write(bytearray(json.dumps(state), "utf-8"))
+        out.close()
+        if not fs.rename(draft, self._of(at, f"state-{number:09d}")):
+            raise RuntimeError(f"{self.path}: another run has stored state {number}")
+        for n in names[:-1]:  # the last two are kept
+            fs.delete(self._of(at, n), False)
+
+
 _shipped: set[str] = set()
 
 
