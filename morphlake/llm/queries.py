@@ -14,7 +14,7 @@ from morphlake.llm.mixing import mixture, packed, shares, sized
 from morphlake.llm.seenkeys import SeenKeys, first_or_repeat, wrong_answers
 from morphlake.llm.sentences import eligible, learn, sentence_units
 from morphlake.llm.termcounts import TermCounts
-from morphlake.operators.shared import new_path, spread, written
+from morphlake.operators.shared import spread, written
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -72,19 +72,14 @@ def _keys(rows: DataFrame) -> DataFrame:
     return rows.select(word_key("word").alias("key"), F.col("row_id").alias("ord"))
 
 
-def _seen_keys(spark: SparkSession, d: str) -> DataFrame:
-    """The words of earlier sessions, then the accepted, then the new rows, each a run against the stored state."""
-    rows, folder, state = table(spark, d, "predictions"), new_path(spark, "keys"), SeenKeys(spark)
-    old = table(spark, d, "seen").select(word_key("word").alias("key"), F.lit(-1).cast("bigint").alias("ord"))
-    for part in (old, _keys(rows.where("stage is null or stage <> 'new'")), _keys(rows.where("stage = 'new'"))):
-        part.where("key is not null").write.mode("append").parquet(folder)
-        state.run(spark.readStream.schema("key string, ord bigint").parquet(folder))
-    return state.firsts()
-
-
 def _answers(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "predictions").select("row_id", "stage", word_key("word").alias("key"))
-    return first_or_repeat(rows.where("stage = 'new'").drop("stage"), _seen_keys(spark, d))
+    """The words of earlier sessions, then the accepted, then the new rows go through the state; the answers are
+    those it gives on the new rows."""
+    rows, state = table(spark, d, "predictions"), SeenKeys(spark)
+    state.run(table(spark, d, "seen").select(word_key("word").alias("key"), F.lit(-1).cast("bigint").alias("ord")))
+    state.run(_keys(rows.where("stage is null or stage <> 'new'")))
+    new = rows.where("stage = 'new'")
+    return first_or_repeat(new.select("row_id", word_key("word").alias("key")), state.run(_keys(new)))
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:

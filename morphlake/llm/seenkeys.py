@@ -1,9 +1,9 @@
 """Has this key been seen before? First or repeat for each record of a stream, exactly.
 
 Keys live in a state store on disk (RocksDB), partitioned by key, with checkpoints in the shared folder and
-no watermark: a key never expires, and memory doesn't grow with the keys. Per key the state is when it came
-first; a micro-batch is reduced by key within each map task before it meets the state, so one key that a
-third of all records carry costs no task more than a row from each other task.
+no watermark: a flag for each key that never expires, so memory doesn't grow with the keys. What decides is
+whether the flag is there, never a clock. A batch is reduced by key, with a partial step in each map task, before
+it goes to the stream: one key that a third of all records carry is one row there.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from morphlake.operators.shared import new_path
+from morphlake.operators.shared import new_path, set_for
 
 STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
@@ -23,52 +23,62 @@ STATE = {
 
 
 class SeenKeys:
-    """The state of one stream, in a folder: run() takes in what is new at its source since the last run."""
+    """The state of one stream, in a folder that a later run takes up again.
+
+    inbox/run=<n> holds each batch reduced by key, checkpoint the state, firsts what the state let through.
+    """
 
     def __init__(self, spark: SparkSession, path: str | None = None):
         self.spark, self.path = spark, path or new_path(spark, "seen-keys")
 
-    def run(self, keys: DataFrame) -> DataFrame:
-        """Take in a streaming DataFrame (key STRING, ord BIGINT) up to what is there now; returns firsts().
+    def _done(self) -> list[int]:
+        """Numbers of the batches that are whole in the inbox."""
+        at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/inbox/run=*/_SUCCESS")
+        found = at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).globStatus(at)
+        return sorted(int(f.getPath().getParent().getName()[4:]) for f in found or [])
+
+    def run(self, batch: DataFrame, number: int | None = None) -> DataFrame:
+        """Take in a batch (key STRING, ord BIGINT); returns ord of its records that are the first of their key.
 
-        Null keys are left out. Within a micro-batch the least ord of a key is its first; a key of an earlier
-        micro-batch is a repeat whatever its ord.
+        Null keys are left out; of equal keys the least ord is the first. A key of an earlier batch is a repeat
+        whatever its ord. number: that of the batch, from 0; one that was taken in before changes nothing and gives
+        its answer again, so a run that died can be repeated. Default: the next.
         """
+        done = self._done()
+        if done:
+            self._drain()  # what a dead run left comes first
+        number = (done[-1] + 1 if done else 0) if number is None else number
+        if number not in done:
+            reduced = batch.where("key is not null").groupBy("key").agg(F.min("ord").cast("bigint").alias("ord"))
+            reduced.write.mode("overwrite").parquet(f"{self.path}/inbox/run={number}")
+            self._drain()
+        return self.firsts().where(F.col("run") == number).select("ord")
+
+    def _drain(self) -> None:
+        """Hold what is new in the inbox against the state; answers are written by micro-batch, so one that is run
+        again replaces itself."""
         spark, target = self.spark, f"{self.path}/firsts"
-        now = F.unix_micros(F.current_timestamp())  # one value for a micro-batch, also when it is run again
-        state = keys.where("key is not null").withColumn("since", now).groupBy("key").agg(F.min("since").alias("since"), F.min("ord").alias("ord"))
-        fresh = state.where(F.col("since") == now).select("ord")
-
-        def keep(batch: DataFrame, number: int) -> None:  # by number: a batch that is run again replaces itself
-            batch.write.mode("overwrite").parquet(f"{target}/batch={number}")
-
-        before = {k: spark.conf.get(k, None) for k in STATE}
-        for k, v in STATE.items():
-            spark.conf.set(k, v)
-        try:
-            query = fresh.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{self.path}/checkpoint").trigger(availableNow=True).start()
-            query.awaitTermination()
-        finally:
-            for k, v in before.items():
-                spark.conf.unset(k) if v is None else spark.conf.set(k, v)
-        return self.firsts()
+        stream = spark.readStream.schema("key string, ord bigint, run int").parquet(f"{self.path}/inbox")
+        keep = lambda rows, number: rows.select("ord", "run").write.mode("overwrite").parquet(f"{target}/batch={number}")
+        with set_for(spark, STATE):
+            stream.dropDuplicates(["key"]).writeStream.outputMode("append").foreachBatch(keep).option("checkpointLocation", f"{self.path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
 
     def firsts(self) -> DataFrame:
-        """ord of every record that was the first of its key."""
+        """ord, run of every record that was the first of its key."""
         try:
-            return self.spark.read.schema("ord bigint, batch int").parquet(f"{self.path}/firsts").select("ord")
+            return self.spark.read.schema("ord bigint, run int, batch int").parquet(f"{self.path}/firsts").select("ord", "run")
         except Exception as e:  # no batch so far
             if "PATH_NOT_FOUND" not in str(e):
                 raise
-            return self.spark.createDataFrame([], "ord bigint")
+            return self.spark.createDataFrame([], "ord bigint, run int")
 
 
 def first_or_repeat(records: DataFrame, firsts: DataFrame, id_col: str = "row_id") -> DataFrame:
-    """records (id_col unique, key) with repeat: false for the first of a key, null without key.
+    """records of one batch (id_col unique, key) with repeat: false for the first of a key, null without key.
 
-    Only ids meet here, each of them once, so no key can make a task large.
+    firsts: ord of the same batch's firsts. Only ids meet here, each of them once, so no key can make a task large.
     """
-    first = firsts.where("ord >= 0").select(F.col("ord").alias(id_col), F.lit(True).alias("__first"))
+    first = firsts.select(F.col("ord").alias(id_col), F.lit(True).alias("__first"))
     return records.join(first, id_col, "left").withColumn("repeat", F.when(F.col("key").isNotNull(), F.col("__first").isNull())).drop("__first")
 
 

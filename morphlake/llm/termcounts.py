@@ -1,18 +1,20 @@
 """How often every term occurs, and in how many records, kept up to date by signed deltas.
 
 Only added, changed and deleted records are read: a changed record is its old text with sign -1 and its new
-text with +1. Their terms are counted with a partial step in each map task, and the changes are merged into
-counts that persist in partitions by term; partitions that no change touches are not rewritten.
+text with +1. Their terms are counted with a partial step in each map task, and the changes of a batch become a
+segment, partitioned by term into as many files as its size asks for. Two neighbouring segments merge once the
+younger is at least half as large as the older, so a count is rewritten about log2 of the number of batches times,
+and a small batch never rewrites large counts.
 """
 
 from __future__ import annotations
 
-import json
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from morphlake.operators.shared import new_path
+from morphlake.operators.shared import StateFiles, new_path, remove
 
 RUSSIAN_TERM = "[а-яё]+"
 SCHEMA = "term string, occurrences bigint, records bigint"
@@ -29,49 +31,50 @@ def deltas(changes: DataFrame, text_col: str = "text", sign_col: str | None = No
     # sorted, a term's first place in the record is where the one before differs: one pass counts both
     marked = F.transform("w", lambda x, i: F.struct(x.alias("term"), ((i == 0) | (F.get("w", i - 1) != x)).cast("bigint").alias("first")))
     terms = rows.select("sign", F.inline(F.concat(F.array(F.struct(F.lit("").alias("term"), F.lit(1).cast("bigint").alias("first"))), marked)))
-    return terms.groupBy("term").agg(F.sum("sign").alias("occurrences"), F.sum(F.col("sign") * F.col("first")).alias("records"))
+    return _summed(terms.select("term", F.col("sign").alias("occurrences"), (F.col("sign") * F.col("first")).alias("records")))
+
+
+def _summed(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("term").agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records")).where("occurrences <> 0 or records <> 0")
 
 
 class TermCounts:
-    """Persistent counts in a folder: part=<n>/ tables and versions.json, which names the current one of each."""
-
-    def __init__(self, spark: SparkSession, path: str | None = None, parts: int = 16, pattern: str = RUSSIAN_TERM):
-        self.spark, self.path, self.parts, self.pattern = spark, path or new_path(spark, "term-counts"), parts, pattern
-        self.tables: dict[str, str] = {}
-        at = self._hadoop(f"{self.path}/versions.json")
-        if at[0].exists(at[1]):
-            self.tables = json.loads(spark.read.text(f"{self.path}/versions.json", wholetext=True).first()[0])
-
-    def _hadoop(self, path: str):
-        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), p
-
-    def table(self, parts: list[str] | None = None) -> DataFrame:
-        """The counts now, of all partitions or the named ones."""
-        held = [f"{t}/part={p}" for p, t in sorted(self.tables.items()) if parts is None or p in parts]
-        return self.spark.read.schema(SCHEMA).parquet(*held) if held else self.spark.createDataFrame([], SCHEMA)
-
-    def apply(self, changes: DataFrame, text_col: str = "text", sign_col: str | None = None) -> TermCounts:
-        """Merge the changes; terms that end at zero leave the table. The new version counts once it is complete."""
-        part = F.pmod(F.xxhash64("term"), F.lit(self.parts)).cast("int")
-        change = deltas(changes, text_col, sign_col, self.pattern).where("occurrences <> 0 or records <> 0").withColumn("part", part)
-        out = f"{self.path}/{new_path(self.spark, 'v').rsplit('/', 1)[1]}"
-        if self.tables:
-            change.write.parquet(f"{out}-delta")
-            change = self.spark.read.schema(f"{SCHEMA}, part int").parquet(f"{out}-delta")
-            touched = [str(r.part) for r in change.select("part").distinct().collect()]
-            change = change.unionByName(self.table(touched).withColumn("part", part))
-            change = change.groupBy("part", "term").agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records"))
-        else:
-            touched = None
-        change.where("occurrences <> 0 or records <> 0").repartition("part").write.partitionBy("part").parquet(out)
-        fs, at = self._hadoop(out)
-        written = [str(s.getPath().getName()).split("=")[1] for s in fs.listStatus(at) if s.isDirectory()]
-        self.tables = {p: t for p, t in self.tables.items() if touched is not None and p not in touched} | dict.fromkeys(written, out)
-        fs, at = self._hadoop(f"{self.path}/versions.json")
-        stream = fs.create(at, True)
-        stream.write(bytearray(json.dumps(self.tables), "utf-8"))
-        stream.close()
+    """Persistent counts in a folder; a later run goes on where this one ended."""
+
+    def __init__(self, spark: SparkSession, path: str | None = None, pattern: str = RUSSIAN_TERM):
+        self.spark, self.path, self.pattern = spark, path or new_path(spark, "term-counts"), pattern
+        self.state = StateFiles(spark, self.path)
+        kept = self.state.load() or {"segments": [], "next": 0}
+        self.segments, self.next = [tuple(s) for s in kept["segments"]], kept["next"]
+
+    def _read(self, *paths: str) -> DataFrame:
+        return self.spark.read.schema(SCHEMA).parquet(*paths) if paths else self.spark.createDataFrame([], SCHEMA)
+
+    def _write(self, rows: DataFrame) -> tuple[int, str]:
+        at = f"{self.path}/counts-{uuid.uuid4().hex}"
+        rows.write.parquet(at)
+        return self._read(at).count(), at
+
+    def table(self) -> DataFrame:
+        """The counts now; terms that are down to zero are not there. The empty term holds the number of records."""
+        held = self._read(*[at for _, at in self.segments])
+        return held if len(self.segments) < 2 else _summed(held)
+
+    def apply(self, changes: DataFrame, text_col: str = "text", sign_col: str | None = None, number: int | None = None) -> TermCounts:
+        """Take in the changes of a batch. number: that of the batch, rising from 0; one that was applied before
+        changes nothing, so a run that died can be repeated. The new counts hold once they are complete."""
+        number = self.next if number is None else number
+        if number < self.next:
+            return self
+        segments, old = [*self.segments, self._write(deltas(changes, text_col, sign_col, self.pattern))], []
+        while len(segments) > 1 and segments[-2][0] <= 2 * segments[-1][0]:
+            pair = [segments.pop()[1], segments.pop()[1]]
+            segments.append(self._write(_summed(self._read(*pair))))
+            old += pair
+        self.state.save({"segments": segments, "next": number + 1})
+        self.segments, self.next = segments, number + 1
+        for at in old:  # no state names them any more
+            remove(self.spark, at)
         return self
 
     def marked(self, rare: int = 2, common: float = 0.1) -> DataFrame:
