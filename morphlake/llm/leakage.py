@@ -1,9 +1,10 @@
 """Evaluation texts leaking into training text: documents that hold passages of held-out items.
 
-Pigeonhole: a passage of min_words words that is allowed `errors` wrong words is hit exactly by one of
-errors + 1 pieces that lie in it whole. Items are cut into pieces short enough for that, wherever the passage
-begins; all pieces go into one Aho-Corasick automaton that reads each document once. Every hit is verified
-with Myers' bit-parallel edit distance between the passages around the piece and the document's words.
+Pigeonhole: of a passage of min_words words that is allowed `errors` wrong ones, cut into pieces short enough, more
+than `errors` lie in it whole wherever it begins, so at least one is met exactly. The items' pieces are a table;
+documents are read once, and of their words only the surroundings of what may be a piece, by a bit filter of bounded
+size, go on. These meet the pieces in a join by hash, and every hit is verified with Myers' bit-parallel edit
+distance between the passages of the item that cover the piece and the words around it in the document.
 """
 
 from __future__ import annotations
@@ -11,21 +12,26 @@ from __future__ import annotations
 import re
 import unicodedata
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from morphlake.llm.mail import text_parts, unquoted
+from morphlake.operators.shared import written
 
 _WORD = re.compile(r"[^\W_]+")
-#: Items whose pieces go to every worker: at most so many characters of text; more are worked off in parts.
-MOST_ITEM_CHARS = 8_000_000
+#: Bits of the filter: 16 for each piece, between these powers of two; 64 MB at most, whatever the number of items.
+LEAST_BITS, MOST_BITS = 15, 29
+#: Bits in one bitmap of Spark's bitmap functions.
+_BITMAP = 32_768
+_FOUND = "doc_id bigint, item_id bigint, distance int"
 
 
 def words(text: str) -> list[str]:
     """Runs of letters or digits in lower case; soft hyphens and zero-width characters don't part words."""
     if not text.isascii():
-        text = unicodedata.normalize("NFC", re.sub("[\u00ad\u200b-\u200d\u2060\ufeff]", "", text))
+        text = unicodedata.normalize("NFC", re.sub("[­​-‍⁠﻿]", "", text))
     return _WORD.findall(text.lower())
 
 
@@ -37,16 +43,16 @@ def piece_words(min_words: int, errors: int) -> int:
     return size
 
 
-def myers(pattern: list[str], text: list[str], most: int) -> tuple[int, int]:
-    """Least edit distance (in words) of pattern to any stretch of text, and where that stretch ends; bit-parallel."""
+def myers(pattern: list[str], text: list[str], most: int) -> int:
+    """Least edit distance (in words) of pattern to any stretch of text, bit-parallel; most + 1 if it is above most."""
     m = len(pattern)
     peq: dict[str, int] = {}
     for i, w in enumerate(pattern):
         peq[w] = peq.get(w, 0) | 1 << i
     full, top = (1 << m) - 1, 1 << (m - 1)
     pv, mv, score = full, 0, m
-    best, end = m, 0
-    for j, w in enumerate(text):
+    best = m
+    for w in text:
         eq = peq.get(w, 0)
         xv = eq | mv
         xh = (((eq & pv) + pv) ^ pv) | eq
@@ -54,121 +60,140 @@ def myers(pattern: list[str], text: list[str], most: int) -> tuple[int, int]:
         score += bool(ph & top) - bool(mh & top)
         ph, mh = ph << 1 & full, mh << 1 & full  # a stretch may begin anywhere
         pv, mv = mh | ~(xv | ph) & full, ph & xv
-        if score < best:
-            best, end = score, j + 1
-            if best == 0:
-                break
-    return (best, end) if best <= most else (most + 1, 0)
-
-
-class Items:
-    """The pieces of all items, searched by one automaton."""
-
-    def __init__(self, items: list[tuple[int, str]], min_words: int, errors: int):
-        import ahocorasick
-
-        self.min_words, self.errors = min_words, errors
-        self.words = {i: words(t) for i, t in items}
-        size = piece_words(min_words, errors)
-        at: dict[str, list[tuple[int, int]]] = {}
-        for i, w in self.words.items():
-            if len(w) >= min_words:
-                for p in range(0, len(w) - size + 1, size):
-                    at.setdefault(" " + " ".join(w[p : p + size]) + " ", []).append((i, p))
-        self.automaton = ahocorasick.Automaton()
-        for piece, places in at.items():
-            self.automaton.add_word(piece, (len(piece), places))
-        if at:
-            self.automaton.make_automaton()
-        self.empty = not at
-
-    def held(self, doc: list[str]) -> dict[int, int]:
-        """item -> longest exact run of words, for the items of which doc holds a passage within the errors."""
-        if self.empty or len(doc) < self.min_words - self.errors:
-            return {}
-        joined = " " + " ".join(doc) + " "
-        starts: list[int] | None = None
-        found: dict[int, int] = {}
-        done: set[tuple[int, int]] = set()
-        for end, (length, places) in self.automaton.iter(joined):
-            if starts is None:
-                starts, at = [], 0
-                for w in doc:
-                    starts.append(at)
-                    at += len(w) + 1
-                place = {s: k for k, s in enumerate(starts)}
-            d = place[end - length + 1]
-            for item, p in places:
-                if (item, d - p) in done:  # same diagonal: an exact run through this hit is known already
-                    continue
-                w = self.words[item]
-                a, b = p, d
-                while a and b and w[a - 1] == doc[b - 1]:
-                    a, b = a - 1, b - 1
-                x, y = p, d
-                while x < len(w) and y < len(doc) and w[x] == doc[y]:
-                    x, y = x + 1, y + 1
-                if x - a >= self.min_words:
-                    done.add((item, d - p))
-                if self._verified(w, doc, p, d, item in found):
-                    found[item] = max(found.get(item, 0), x - a)
-        return found
-
-    def _verified(self, w: list[str], doc: list[str], p: int, d: int, known: bool) -> bool:
-        """Whether a passage of the item that covers word p matches the document around word d."""
-        if known:
-            return True
-        n, e = self.min_words, self.errors
-        first, last = max(0, p - n + 1), min(p, len(w) - n)
-        near = set(doc[max(0, d - n + 1 - e) : d + n + e])
-        there = [x in near for x in w[first : last + n]]
-        for start in range(first, last + 1):
-            if sum(there[start - first : start - first + n]) < n - e:  # so many of its words aren't even near
-                continue
-            lo, hi = d - (p - start) - e, d - (p - start) + n + e
-            if myers(w[start : start + n], doc[max(0, lo) : max(0, hi)], e)[0] <= e:
-                return True
-        return False
+        best = min(best, score)
+        if best == 0:
+            break
+    return min(best, most + 1)
+
+
+def nearest(passages: list[str], found: list[str], min_words: int, most: int) -> int:
+    """Least distance of any min_words words of passages to a stretch of found; most + 1 if all are farther."""
+    near = set(found)
+    there = [w in near for w in passages]
+    best = most + 1
+    for a in range(len(passages) - min_words + 1):
+        if sum(there[a : a + min_words]) > min_words - best:  # else too many of its words aren't even near
+            best = min(best, myers(passages[a : a + min_words], found, best - 1))
+    return best
+
+
+class Hashes:
+    """64-bit hashes of words, and of all runs of `size` words."""
+
+    def __init__(self, size: int):
+        self.size, self.known = size, {}
+
+    def __call__(self, own: list[str]) -> np.ndarray:
+        from xxhash import xxh3_64_intdigest
+
+        known = self.known
+        if len(known) > 500_000:
+            known.clear()
+        for w in own:
+            if w not in known:
+                known[w] = xxh3_64_intdigest(w.encode("utf-8", "surrogatepass"))
+        one = np.fromiter((known[w] for w in own), np.uint64, len(own))
+        n = len(own) - self.size + 1
+        x = np.zeros(max(n, 0), np.uint64)
+        for k in range(self.size if n > 0 else 0):
+            x = (x ^ (x >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + one[k : k + n]
+        x = (x ^ (x >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9)
+        return x ^ (x >> np.uint64(31))
+
+
+def _rows(hashes: list[int], ids: list[int], around: list[list[str]], name: str) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.array(hashes, dtype=np.uint64).view(np.int64)), pa.array(ids, pa.int64()), pa.array(around, pa.list_(pa.string()))], names=["hash", name, f"{name}_words"])
+
+
+def pieces(items: DataFrame, min_words: int, errors: int) -> DataFrame:
+    """hash, item_id, item_id_words of items (item_id, text): each piece, with the words of all passages that cover it."""
+    size = piece_words(min_words, errors)
+
+    def run(batches):
+        hashes = Hashes(size)
+        for b in batches:
+            out: tuple[list, list, list] = ([], [], [])
+            for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                own = words(text)
+                if len(own) >= min_words:
+                    h = hashes(own)
+                    for p in range(0, len(h), size):
+                        out[0].append(h[p])
+                        out[1].append(i)
+                        out[2].append(own[max(0, p + size - min_words) : p + min_words])
+            yield _rows(*out, "item_id")
+
+    return items.mapInArrow(run, "hash bigint, item_id bigint, item_id_words array<string>")
+
+
+def _places(h, k: int):
+    """The two bits of a hash in a filter of 2**k bits."""
+    mask = np.uint64((1 << k) - 1)
+    return h & mask, (h >> np.uint64(64 - k)) & mask
+
+
+def bit_filter(held: DataFrame, k: int) -> np.ndarray:
+    """2**k bits, as bytes, in which those of all hashes of held (hash) are set; put together by Spark."""
+    low = F.col("hash").bitwiseAND(F.lit((1 << k) - 1))
+    bits = held.select(F.explode(F.array(low, F.shiftrightunsigned("hash", 64 - k))).alias("bit"))
+    maps = bits.groupBy(F.expr(f"bit div {_BITMAP}").alias("n")).agg(F.expr(f"bitmap_construct_agg(bit % {_BITMAP})").alias("bits")).collect()
+    out = np.zeros(max((1 << k) // 8, _BITMAP // 8), np.uint8)
+    for r in maps:
+        out[r.n * (_BITMAP // 8) : (r.n + 1) * (_BITMAP // 8)] = np.frombuffer(r.bits, np.uint8)
+    return out
+
+
+def hits(documents: DataFrame, bits: np.ndarray, k: int, min_words: int, errors: int) -> DataFrame:
+    """hash, doc_id, doc_id_words of documents (doc_id, text): what may be a piece, with the words around it."""
+    size = piece_words(min_words, errors)
+    shipped = documents.sparkSession.sparkContext.broadcast(bits)  # at most 2**MOST_BITS bits
+
+    def run(batches):
+        held, hashes = shipped.value, Hashes(size)
+        is_set = lambda at: held[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1
+        for b in batches:
+            out: tuple[list, list, list] = ([], [], [])
+            for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                for part in text_parts(text):
+                    own = words(unquoted(part))
+                    if len(own) < min_words - errors:
+                        continue
+                    h = hashes(own)
+                    one, other = _places(h, k)
+                    for p in np.flatnonzero(is_set(one) & is_set(other)).tolist():
+                        out[0].append(h[p])
+                        out[1].append(i)
+                        out[2].append(own[max(0, p + size - min_words - errors) : p + min_words + errors])
+                if len(out[0]) > 20_000:
+                    yield _rows(*out, "doc_id")
+                    out = ([], [], [])
+            yield _rows(*out, "doc_id")
+
+    return documents.mapInArrow(run, "hash bigint, doc_id bigint, doc_id_words array<string>")
 
 
 def leaks(documents: DataFrame, items: DataFrame, min_words: int = 12, errors: int = 1, doc_col: str = "doc_id", item_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """doc_id, item_id, run: documents holding min_words consecutive words of an item, up to `errors` wrong words.
+    """doc_id, item_id, distance: documents that hold min_words consecutive words of an item, up to `errors` wrong,
+    missing or added words; distance is the least number of these, 0 for an exact passage.
 
-    run is the longest exact run of the item's words. Documents are mail messages; what counts is what their
-    reader sees (see mail). Documents are read once, row by row, without a shuffle; the items, a stated query
-    set, are sent to the workers in parts of at most MOST_ITEM_CHARS characters. Null texts, empty tables and
-    items shorter than min_words give no rows; a repeated document gives its rows again.
+    Documents are mail messages; what counts is what their reader sees (see mail). They are read once, row by row,
+    for any number of items; only the surroundings of hits are shuffled. Null texts, empty tables and items shorter
+    than min_words give no rows; a repeated document or item gives its rows once.
     """
-    from itertools import groupby
-
-    rows = items.where(F.col(text_col).isNotNull()).select(F.col(item_col).cast("bigint").alias("i"), F.col(text_col).cast("string").alias("t"))
-    source = documents.where(F.col(text_col).isNotNull()).select(F.col(doc_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    schema = "doc_id bigint, item_id bigint, run int"
-    taken, parts, size = [], [], 0
-    for r in rows.toLocalIterator():
-        taken.append((size // MOST_ITEM_CHARS, (r.i, r.t)))
-        size += len(r.t)
-    for _, part in groupby(taken, key=lambda x: x[0]):
-        parts.append([x for _, x in part])
-
-    def search(part: list[tuple[int, str]]):
-        def run(batches):
-            index = Items(part, min_words, errors)
-            for b in batches:
-                docs, found, runs = [], [], []
-                for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                    best: dict[int, int] = {}
-                    for t in text_parts(text):
-                        for item, n in index.held(words(unquoted(t))).items():
-                            best[item] = max(best.get(item, 0), n)
-                    docs += [i] * len(best)
-                    found += best
-                    runs += best.values()
-                yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(found, pa.int64()), pa.array(runs, pa.int32())], names=["doc_id", "item_id", "run"])
-
-        return source.mapInArrow(run, schema)
-
-    out = documents.sparkSession.createDataFrame([], schema)
-    for part in parts:
-        out = search(part) if len(parts) == 1 else out.unionByName(search(part))
-    return out
+    spark = documents.sparkSession
+    one = lambda df, c, name: df.where(F.col(text_col).isNotNull()).select(F.col(c).cast("bigint").alias(name), F.col(text_col).cast("string").alias("text"))
+    held = written(pieces(one(items, item_col, "item_id"), min_words, errors), "leak-pieces")
+    n = held.count()
+    if not n:
+        return spark.createDataFrame([], _FOUND)
+    k = min(MOST_BITS, max(LEAST_BITS, (16 * n).bit_length()))
+    met = hits(one(documents, doc_col, "doc_id"), bit_filter(held, k), k, min_words, errors).join(held, "hash")
+
+    def verify(batches):
+        for b in batches:
+            d = [nearest(p, t, min_words, errors) for p, t in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
+            keep = np.flatnonzero(np.array(d, dtype=np.int32) <= errors)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(keep)), b.column(1).take(pa.array(keep)), pa.array(np.array(d, dtype=np.int32)[keep])], names=["doc_id", "item_id", "distance"])
+
+    found = met.select("doc_id", "item_id", "item_id_words", "doc_id_words").mapInArrow(verify, _FOUND)
+    return found.groupBy("doc_id", "item_id").agg(F.min("distance").alias("distance"))

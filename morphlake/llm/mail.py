@@ -36,35 +36,38 @@ def visible(markup: str) -> str:
     return html.unescape(_TAG.sub("", _BREAK.sub("\n", _HIDDEN.sub("", markup))))
 
 
-def text_parts(message: str, depth: int = 0) -> list[str]:
-    """The text parts and text attachments of a message or part, decoded and without markup.
+def text_parts(message: str) -> list[str]:
+    """The text parts and text attachments of a message, decoded and without markup, however deep they lie.
 
     Cut-off multiparts give what is there; parts of other types than text give nothing. A message without an
     empty line is all headers and gives nothing, except for a part without headers.
     """
-    if depth and (message.startswith("\n") or message.startswith("\r\n")):
-        head, body = "", message
-    else:
-        m = _SPLIT.search(message)
-        if not m:
-            return []
-        head, body = message[: m.start()], message[m.end() :]
-    kind, encoding, params = "text/plain", "", {}
-    for name, value in _FIELD.findall(head):
-        if name.lower() == "content-type":
-            kind = value.split(";")[0].strip().lower() or "text/plain"
-            params = {k.lower(): a or b for k, a, b in _PARAM.findall(value)}
+    out, todo = [], [(message, False)]
+    while todo:
+        text, is_part = todo.pop()
+        if is_part and text.startswith(("\n", "\r\n")):
+            head, body = "", text
         else:
-            encoding = value.strip().lower()
-    if kind.startswith("multipart/") and params.get("boundary") and depth < 20:
-        pieces = re.split(rf"(?m)^--{re.escape(params['boundary'])}(?:--)?[ \t]*\r?(?:\n|\Z)", body)
-        return [t for piece in pieces[1:] for t in text_parts(piece, depth + 1)]
-    if kind == "message/rfc822" and depth < 20:
-        return text_parts(_decoded(body, encoding, params.get("charset", "")), depth + 1)
-    if not kind.startswith("text/"):
-        return []
-    body = _decoded(body, encoding, params.get("charset", ""))
-    return [visible(body) if kind == "text/html" else body]
+            m = _SPLIT.search(text)
+            if not m:
+                continue
+            head, body = text[: m.start()], text[m.end() :]
+        kind, encoding, params = "text/plain", "", {}
+        for name, value in _FIELD.findall(head):
+            if name.lower() == "content-type":
+                kind = value.split(";")[0].strip().lower() or "text/plain"
+                params = {k.lower(): a or b for k, a, b in _PARAM.findall(value)}
+            else:
+                encoding = value.strip().lower()
+        if kind.startswith("multipart/") and params.get("boundary"):
+            pieces = re.split(rf"(?m)^--{re.escape(params['boundary'])}(?:--)?[ \t]*\r?(?:\n|\Z)", body)
+            todo += [(piece, True) for piece in reversed(pieces[1:])]
+        elif kind == "message/rfc822":
+            todo.append((_decoded(body, encoding, params.get("charset", "")), True))
+        elif kind.startswith("text/"):
+            body = _decoded(body, encoding, params.get("charset", ""))
+            out.append(visible(body) if kind == "text/html" else body)
+    return out
 
 
 def unquoted(text: str) -> str:

@@ -9,7 +9,7 @@ from morphlake.functions.keys import word_key
 from morphlake.llm.encoding import fit_model, restored
 from morphlake.llm.history import repeated_texts, repeated_words
 from morphlake.llm.leakage import leaks
-from morphlake.llm.lookalike import look_alikes, with_skeleton
+from morphlake.llm.lookalike import look_alike_classes, look_alikes, with_skeleton
 from morphlake.llm.mixing import mixture, packed, shares, sized
 from morphlake.llm.seenkeys import SeenKeys, first_or_repeat, wrong_answers
 from morphlake.llm.sentences import eligible, learn, sentence_units
@@ -48,6 +48,10 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return look_alikes(spread(table(spark, d, "get_batch").select("row_id", "text")))
 
 
+def p3_classes(spark: SparkSession, d: str) -> DataFrame:
+    return look_alike_classes(spread(table(spark, d, "get_batch").select("row_id", "text")))
+
+
 def p3_consistent(spark: SparkSession, d: str) -> DataFrame:
     return with_skeleton(spread(table(spark, d, "get_batch").select("row_id", "text")), "text", "consistent").select("row_id", "consistent")
 
@@ -96,7 +100,7 @@ def p7_leaks(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    return p7_leaks(spark, d).where("run >= 12").select("doc_id", "item_id").distinct()
+    return p7_leaks(spark, d).where("distance = 0").select("doc_id", "item_id")
 
 
 def _mixed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -123,6 +127,7 @@ QUERIES = {
     "p2_found": p2_found,
     "p2_restored": p2_restored,
     "p3_found": p3_found,
+    "p3_classes": p3_classes,
     "p3_consistent": p3_consistent,
     "p4_found": p4_found,
     "p4_counts": p4_counts,

@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from morphlake.llm.leakage import Items, leaks, myers, piece_words, words
+from morphlake.llm.leakage import Hashes, bit_filter, leaks, myers, nearest, piece_words, words
 from morphlake.llm.mail import text_parts, unquoted
 from morphlake.llm.sentences import Model, eligible, items, learn, paragraphs, sentence_units, unit_ends
 
@@ -38,9 +38,9 @@ OTHERS = {"image": f"From: a\nContent-Type: image/png\n\n{PASSAGE}", "short": ma
 
 def test_carriers(spark):
     texts = [*CARRIERS.values(), *OTHERS.values(), None]
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").selectExpr("*", "1 as item_id", "2 as run")
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").selectExpr("*", "1 as item_id", "2 as hash")
     held = spark.createDataFrame([(7, ITEM), (8, None), (9, "too short"), (10, "")], "item_id bigint, text string")
-    assert sorted((r.doc_id, r.item_id) for r in leaks(docs, held).where("run >= 12").collect()) == [(i, 7) for i in range(len(CARRIERS))]
+    assert sorted((r.doc_id, r.item_id) for r in leaks(docs.unionByName(docs), held).where("distance = 0").collect()) == [(i, 7) for i in range(len(CARRIERS))]
     assert leaks(docs, held.limit(0)).count() == 0 and leaks(docs.limit(0), held).count() == 0
     assert unquoted(">> a\n> b\n|c") == "a\nb\nc" and text_parts("no empty line") == []
 
@@ -59,22 +59,68 @@ def test_myers_against_table():
     for _ in range(300):
         a = [rng.choice("abc") for _ in range(rng.randint(1, 12))]
         b = [rng.choice("abcd") for _ in range(rng.randint(0, 20))]
-        assert myers(a, b, 99)[0] == edit(a, b)
+        assert myers(a, b, 99) == edit(a, b)
+        assert myers(a, b, 1) == min(edit(a, b), 2)
+
+
+def wrong(rng, passage, errors):
+    """The passage with so many words replaced, left out or added."""
+    out = list(passage)
+    for k in sorted(rng.sample(range(1, len(out) - 1), errors), reverse=True):
+        out[k : k + 1] = rng.choice([["wrong"], [], [out[k], "added"]])
+    return out
 
 
 @pytest.mark.parametrize("errors", [0, 1, 2])
-def test_pieces_miss_nothing(errors):
+def test_leaks_against_brute_force(spark, errors):
     rng = random.Random(errors)
-    item = [f"w{i}" for i in range(60)]
-    index = Items([(1, " ".join(item))], 12, errors)
+    held = {i: [f"w{rng.randrange(400)}" for _ in range(rng.randint(5, 40))] for i in range(40)}
+    docs = {}
+    for i in range(160):
+        doc = [f"w{rng.randrange(400)}" for _ in range(rng.randint(0, 30))]
+        for _ in range(rng.choice([0, 1, 1, 3])):
+            item = held[rng.randrange(40)]
+            n = rng.choice([7, 11, 12, 15])
+            a = rng.randrange(max(1, len(item) - n))
+            if len(item[a : a + n]) > 4:
+                doc[len(doc) // 2 : len(doc) // 2] = wrong(rng, item[a : a + n], rng.choice([0, 1, 2, 3]))
+        docs[i] = doc
+
+    def least(item, doc):
+        return min((edit(item[a : a + 12], doc) for a in range(len(item) - 11)), default=99)
+
+    want = {(d, i): n for d, doc in docs.items() for i, item in held.items() if (n := least(item, doc)) <= errors}
+    frame = lambda rows, name: spark.createDataFrame([(i, " ".join(w)) for i, w in rows.items()], f"{name} bigint, text string")
+    got = {(r.doc_id, r.item_id): r.distance for r in leaks(frame(docs, "doc_id").repartition(3), frame(held, "item_id"), 12, errors).collect()}
+    assert not got  # no message has a body
+    got = {(r.doc_id, r.item_id): r.distance for r in leaks(spark.createDataFrame([(i, "H: x\n\n" + " ".join(w)) for i, w in docs.items()], "doc_id bigint, text string"), frame(held, "item_id"), 12, errors).collect()}
+    assert got == want and {*want.values()} == {*range(errors + 1)}
     assert piece_words(12, errors) == 13 // (errors + 2)
-    for _ in range(200):
-        a = rng.randrange(48)
-        passage = item[a : a + 12]
-        for k in rng.sample(range(12), errors):
-            passage[k] = "wrong"
-        assert 1 in index.held(["x"] * 5 + passage + ["y"] * 5), (a, passage)
-        assert 1 not in index.held(["x"] * 5 + item[a : a + 7] + ["y"] * 5)
+    assert nearest(held[0], ["x"], 12, 1) == 2
+
+
+def test_the_filter_holds_every_piece(spark):
+    own = [f"w{i}" for i in range(3000)]
+    h = Hashes(4)(own)
+    assert len(h) == 2997 == len(set(h.tolist())) and not len(Hashes(4)(own[:3]))
+    held = spark.createDataFrame([(int(x),) for x in h.view("int64")], "hash bigint")
+    from morphlake.llm.leakage import _places
+
+    for k in (15, 18):
+        bits = bit_filter(held, k)
+        assert len(bits) == max(1 << k, 32_768) // 8
+        for at in _places(h, k):
+            assert all(bits[int(a) >> 3] >> (int(a) & 7) & 1 for a in at)
+        other = _places(Hashes(4)([f"v{i}" for i in range(3000)]), k)
+        both = [bits[int(a) >> 3] >> (int(a) & 7) & bits[int(c) >> 3] >> (int(c) & 7) & 1 for a, c in zip(*other)]
+        assert sum(both) < (200 if k == 15 else 20)
+
+
+def test_deep_parts():
+    message = PASSAGE
+    for i in range(300):
+        message = f"Content-Type: multipart/mixed; boundary=b{i}x\n\n--b{i}x\n{message if i else chr(10) + message}"
+    assert text_parts("From: a\n" + message) == ["\n" + PASSAGE]
 
 
 EN = ({"dr": 0.0, "no": 0.0, "p.m": 1.0, "e.g": 0.0, "j": 0.0}, {"the", "our", "every", "that"}, {"mai"})
