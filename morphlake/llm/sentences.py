@@ -16,8 +16,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from morphlake.operators.shared import written
+
 #: Least log-likelihood ratio (chi-square, one degree of freedom, p < 0.005), and least share of a type's occurrences with a period.
 LEAST_RATIO, LEAST_SHARE = 7.88, 0.8
+#: Least share of a language's tokens that a learned word makes up: so a language has at most a million of them.
+LEAST_PART = 1e-6
 NUMBER = "##"
 
 _OPEN = "\"'«»„“”‘’‚‹›(¿¡[{—–-*「『“《"
@@ -66,9 +70,13 @@ def items(par: str) -> list[tuple[int, int]]:
     return [(a, z) for a, z in zip(cuts, [*cuts[1:], len(par)])] if cuts else []
 
 
+_LANG = re.compile(r"[a-z]{2,3}(?![a-z])")
+
+
 def language(lang: str | None) -> str:
-    """A language's name in one spelling; `und` where it is not known."""
-    return (lang or "").strip().lower() or "und"
+    """A language's code of two or three letters, without region; `und` where there is none."""
+    m = _LANG.match((lang or "").strip().lower())
+    return m[0] if m else "und"
 
 
 def _count(par: str, lang: str, types: Counter, pairs: Counter) -> None:
@@ -159,46 +167,49 @@ def eligible(df: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 
 def learn(docs: DataFrame) -> Model:
-    """The model of all documents (doc_id, text, lang). What reaches the driver is what was learned, not counts:
-    abbreviations and the words met after them, both kinds of word that a language has few of."""
-    found = docs.mapInArrow(_counts, "lang string, w string, w2 string, what string, n bigint").groupBy("lang", "w", "w2", "what").agg(F.sum("n").alias("n")).persist()
-    try:
-        one = lambda k: F.coalesce(F.sum(F.when(F.col("what") == k, F.col("n"))), F.lit(0)).alias(k if k != "U" else "big")
-        types = found.where("what <> 'pair'").groupBy("lang", "w").agg(*map(one, "nplxucbU")).withColumn("common", (F.col("l") * 20 >= F.col("n")) & (F.col("l") > 0) | (F.col("b") >= 5) & (F.col("b") >= 0.9 * F.col("big")))
-        numbers = F.coalesce(F.sum(F.when(F.col("w") == NUMBER, F.col("p"))), F.lit(0)).alias("numbers")
-        totals = types.groupBy("lang").agg(F.sum("n").alias("all"), F.sum("p").alias("dots"), F.sum("b").alias("breaks"), numbers)
-        rate = F.greatest(F.least(F.col("dots") / F.col("all"), F.lit(0.98)), F.lit(1e-9))
-        ratio = 2 * (F.col("p") * (F.log(F.lit(0.99)) - F.log(rate)) + (F.col("n") - F.col("p")) * (F.log(F.lit(0.01)) - F.log(1 - rate)))
-        often = types.join(F.broadcast(totals), "lang").where((F.col("p") >= LEAST_SHARE * F.col("n")) & (F.col("p") > 1) & (ratio >= LEAST_RATIO) & (F.col("w") != NUMBER))
-        pairs = found.where("what = 'pair'").select("lang", "w", F.col("w2"), F.col("n").alias("m"))
-        scored = types.join(F.broadcast(totals), "lang").withColumn("opens", _ratio(F.col("breaks"), F.col("n"), F.col("b"), F.col("all")) >= LEAST_RATIO)
-        # of the capitals after a type and its period: how many are words that are also written small
-        after = pairs.join(scored.select("lang", F.col("w").alias("w2"), "common", "opens", F.col("n").alias("n2"), "numbers", "all"), ["lang", "w2"])
-        kinds = after.groupBy("lang", "w").agg(F.sum(F.when(F.col("common"), F.col("m"))).alias("starts"), F.sum("m").alias("m"), F.count(F.when(~F.col("common"), 1)).alias("names"))
-        judged = often.join(kinds, ["lang", "w"], "left").fillna(0, ["starts", "m", "names"])
-        letters = F.length(F.regexp_replace("w", r"[^\p{L}\p{M}]", ""))
-        goes_on = F.col("x") >= 0.05 * F.col("p")
-        names = (F.col("m") - F.col("starts") >= 0.5 * F.col("m")) & (F.col("m") > 0) & ((letters <= 3) | (F.col("names") >= 4))
-        caseless = (F.col("u") == 0) & (F.col("x") == 0) & (F.col("c") > 0) & (letters <= 3)
-        abbreviations = judged.where((letters > 0) & (letters <= 12) & (goes_on | names | caseless)).select("lang", "w", F.when((F.col("m") >= 3) & (F.col("m") >= 0.05 * F.col("p")), F.col("starts") / F.col("m")).otherwise(0.0).alias("share")).persist()
-        model = Model()
-        for r in abbreviations.collect():
-            for lang in {r.lang, "und"}:
-                model.abbreviations.setdefault(lang, {})[r.w] = r.share
-        met = after.join(F.broadcast(abbreviations.select("lang", "w")), ["lang", "w"], "left_semi").unionByName(after.where(F.col("w") == NUMBER))
-        for r in met.where("common and opens").select("lang", "w2").distinct().collect():
-            for lang in {r.lang, "und"}:
-                model.starters.setdefault(lang, set()).add(r.w2)
-        # a word that stands after a number and a period more often than chance has it, and starts no sentences, is bound to it
-        tied = _ratio(F.col("numbers"), F.col("n2"), F.col("m"), F.col("all")) >= LEAST_RATIO
-        bound = after.where((F.col("w") == NUMBER) & ~F.col("common") & ~F.col("opens") & tied & (F.col("m") > 1))
-        for r in bound.select("lang", "w2").distinct().collect():
-            for lang in {r.lang, "und"}:
-                model.follows.setdefault(lang, set()).add(r.w2)
-        abbreviations.unpersist()
-        return model
-    finally:
-        found.unpersist()
+    """The model of all documents (doc_id, text, lang).
+
+    One row-local pass counts and one aggregation adds up, per language, types and the pairs across a period; the
+    counts of types are a written table, and all that follows works on tables of that size. What reaches the driver
+    are words that are significant and make up LEAST_PART of their language's tokens each, which bounds them.
+    """
+    found = written(docs.mapInArrow(_counts, "lang string, w string, w2 string, what string, n bigint").groupBy("lang", "w", "w2", "what").agg(F.sum("n").alias("n")), "sentence-counts")
+    one = lambda k: F.coalesce(F.sum(F.when(F.col("what") == k, F.col("n"))), F.lit(0)).alias(k if k != "U" else "big")
+    common = (F.col("l") * 20 >= F.col("n")) & (F.col("l") > 0) | (F.col("b") >= 5) & (F.col("b") >= 0.9 * F.col("big"))
+    types = written(found.where("what <> 'pair'").groupBy("lang", "w").agg(*map(one, "nplxucbU")).withColumn("common", common), "sentence-types")
+    numbers = F.coalesce(F.sum(F.when(F.col("w") == NUMBER, F.col("p"))), F.lit(0)).alias("numbers")
+    # a row for each language, of which there are as many as codes of three letters at most
+    totals = F.broadcast(types.groupBy("lang").agg(F.sum("n").alias("all"), F.sum("p").alias("dots"), F.sum("b").alias("breaks"), numbers))
+    rate = F.greatest(F.least(F.col("dots") / F.col("all"), F.lit(0.98)), F.lit(1e-9))
+    ratio = 2 * (F.col("p") * (F.log(F.lit(0.99)) - F.log(rate)) + (F.col("n") - F.col("p")) * (F.log(F.lit(0.01)) - F.log(1 - rate)))
+    scored = types.join(totals, "lang").withColumn("opens", _ratio(F.col("breaks"), F.col("n"), F.col("b"), F.col("all")) >= LEAST_RATIO)
+    often = scored.where((F.col("p") >= LEAST_SHARE * F.col("n")) & (F.col("p") > 1) & (ratio >= LEAST_RATIO) & (F.col("w") != NUMBER) & (F.col("n") >= LEAST_PART * F.col("all")))
+    pairs = found.where("what = 'pair'").select("lang", "w", "w2", F.col("n").alias("m"))
+    # of the capitals after a type and its period: how many are words that are also written small
+    after = written(pairs.join(scored.select("lang", F.col("w").alias("w2"), "common", "opens", F.col("n").alias("n2"), "numbers", "all"), ["lang", "w2"]), "sentence-pairs")
+    kinds = after.groupBy("lang", "w").agg(F.sum(F.when(F.col("common"), F.col("m"))).alias("starts"), F.sum("m").alias("m"), F.count(F.when(~F.col("common"), 1)).alias("names"))
+    judged = often.join(kinds, ["lang", "w"], "left").fillna(0, ["starts", "m", "names"])
+    letters = F.length(F.regexp_replace("w", r"[^\p{L}\p{M}]", ""))
+    goes_on = F.col("x") >= 0.05 * F.col("p")
+    names = (F.col("m") - F.col("starts") >= 0.5 * F.col("m")) & (F.col("m") > 0) & ((letters <= 3) | (F.col("names") >= 4))
+    caseless = (F.col("u") == 0) & (F.col("x") == 0) & (F.col("c") > 0) & (letters <= 3)
+    share = F.when((F.col("m") >= 3) & (F.col("m") >= 0.05 * F.col("p")), F.col("starts") / F.col("m")).otherwise(0.0)
+    abbreviations = written(judged.where((letters > 0) & (goes_on | names | caseless)).select("lang", "w", share.alias("share")), "sentence-abbreviations")
+    # after an abbreviation or a number: words that start sentences; and words bound to the number before them, as
+    # they stand there more often than chance has it and start no sentences
+    met = after.join(abbreviations.select("lang", "w").withColumn("known", F.lit(True)), ["lang", "w"], "left").where((F.col("w") == NUMBER) | F.col("known")).where(F.col("n2") >= LEAST_PART * F.col("all"))
+    tied = (F.col("w") == NUMBER) & ~F.col("common") & ~F.col("opens") & (F.col("m") > 1) & (_ratio(F.col("numbers"), F.col("n2"), F.col("m"), F.col("all")) >= LEAST_RATIO)
+    kind = F.when(F.col("common") & F.col("opens"), "starter").when(tied, "follows")
+    learned = abbreviations.select("lang", F.lit("abbreviation").alias("kind"), "w", "share").unionByName(met.select("lang", kind.alias("kind"), F.col("w2").alias("w"), F.lit(0.0).alias("share")).where("kind is not null").distinct())
+    model = Model()
+    for r in learned.collect():
+        for lang in {r.lang, "und"}:
+            if r.kind == "abbreviation":
+                held = model.abbreviations.setdefault(lang, {})
+                held[r.w] = min(r.share, held.get(r.w, r.share)) if lang == "und" else r.share
+            else:
+                (model.starters if r.kind == "starter" else model.follows).setdefault(lang, set()).add(r.w)
+    return model
 
 
 def _goes_on(par: str, mark: str, at: int, end: int, capitals: bool, abbreviations: dict[str, float], starters: set[str], follows: set[str]) -> bool:
@@ -301,7 +312,7 @@ def unit_ends(text: str, abbreviations: dict[str, float], starters: set[str], fo
 
 
 def sentence_units(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, end_pos of each unit of docs (doc_id, text, lang). Row-local; the model is a few thousand words.
+    """doc_id, end_pos of each unit of docs (doc_id, text, lang). Row-local; the model is bounded as learn() says.
 
     Null texts, bodies without a letter or digit and messages without an empty line give no rows; a repeated
     document gives its rows again.
