@@ -13,7 +13,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -21,11 +21,18 @@ from morphlake.functions.keys import trimmed
 from morphlake.operators.shared import written
 
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+#: Setting of the session that names another vocabulary file, at the same place on every machine.
+RANKS_SETTING = "spark.morphlake.tokenizer.ranks"
 # Fixed value: the pattern by which the byte-level BPE vocabularies split a text before merging.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Documents packed one after the other by one task.
 GROUP_DOCS = 100_000
-BLOCK = "source string, block bigint, n_tokens bigint, spans array<struct<doc_id:bigint,first:bigint,n:bigint>>"
+BLOCK = "source string, grp bigint, block bigint, n_tokens bigint, spans array<struct<doc_id:bigint,first:bigint,n:bigint>>"
+
+
+def ranks_of(spark: SparkSession) -> str:
+    """The vocabulary file of a session: that of RANKS_SETTING, else RANKS."""
+    return spark.conf.get(RANKS_SETTING, RANKS)
 
 
 class Tokenizer:
@@ -55,12 +62,13 @@ class Tokenizer:
         return total
 
 
-def sized(documents: DataFrame, targets: DataFrame, ranks_path: str = RANKS) -> DataFrame:
+def sized(documents: DataFrame, targets: DataFrame, ranks_path: str | None = None) -> DataFrame:
     """source, doc_id, n_tokens of the documents that have a text and a source with a target."""
     key = F.lower(trimmed("source"))
     wanted = targets.select(key.alias("source")).distinct()
     rows = documents.where(F.col("text").isNotNull() & F.col("source").isNotNull()).select(key.alias("source"), F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = rows.join(F.broadcast(wanted), "source", "left_semi")  # targets: one row a source, a stated table
+    rows = rows.join(wanted, "source", "left_semi")  # broadcast by Spark where the targets are small
+    ranks_path = ranks_path or ranks_of(documents.sparkSession)
 
     def run(batches):
         tok = Tokenizer(ranks_path)
@@ -75,37 +83,40 @@ def _pack(block_tokens: int):
     def run(table: pa.Table) -> pa.Table:
         order = np.argsort(table["doc_id"].to_numpy(), kind="stable")
         docs, sizes = table["doc_id"].to_numpy()[order], table["n_tokens"].to_numpy()[order]
-        ends = np.cumsum(sizes)
+        ends = table["start"][0].as_py() + np.cumsum(sizes)
         starts = ends - sizes
         first, last = starts // block_tokens, np.maximum(ends - 1, starts) // block_tokens
         parts = np.where(sizes > 0, last - first + 1, 0)
         doc = np.repeat(np.arange(len(docs)), parts)
         block = np.arange(len(doc)) - np.repeat(np.cumsum(parts) - parts, parts) + first[doc]
         lo, hi = np.maximum(starts[doc], block * block_tokens), np.minimum(ends[doc], (block + 1) * block_tokens)
-        n_blocks = int(block[-1]) + 1 if len(block) else 0
-        offsets = np.searchsorted(block, np.arange(n_blocks + 1))
+        numbers = np.arange(block[0], block[-1] + 1) if len(block) else block
+        offsets = np.searchsorted(block, np.append(numbers, numbers[-1:] + 1))
         spans = pa.StructArray.from_arrays([pa.array(docs[doc]), pa.array(lo - starts[doc]), pa.array(hi - lo)], names=["doc_id", "first", "n"])
-        size = np.add.reduceat(hi - lo, offsets[:-1]) if n_blocks else np.zeros(0, np.int64)
-        return pa.table(
-            [pa.array([table["source"][0].as_py()] * n_blocks, pa.string()), pa.array([table["grp"][0].as_py()] * n_blocks, pa.int64()), pa.array(np.arange(n_blocks)), pa.array(size), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), spans)],
-            names=["source", "grp", "k", "n_tokens", "spans"],
-        )
+        size = np.add.reduceat(hi - lo, offsets[:-1]) if len(numbers) else np.zeros(0, np.int64)
+        of = lambda c, kind: pa.array([table[c][0].as_py()] * len(numbers), kind)
+        lists = pa.ListArray.from_arrays(pa.array(offsets if len(numbers) else [0], pa.int32()), spans)
+        return pa.table([of("source", pa.string()), of("grp", pa.int64()), pa.array(numbers), pa.array(size), lists], names=["source", "grp", "block", "n_tokens", "spans"])
 
     return run
 
 
-def packed(sizes: DataFrame, block_tokens: int = 1024) -> DataFrame:
+def packed(sizes: DataFrame, block_tokens: int = 1024, group_docs: int = GROUP_DOCS) -> DataFrame:
     """The blocks of each source, numbered from 0: spans of documents that fill block_tokens tokens.
 
-    A source is packed in groups of about GROUP_DOCS documents, so no task holds a whole source; the last block
-    of a group may be shorter. Every token of every document lies in exactly one block.
+    A source is one row of tokens, cut at every block_tokens-th; only its last block may be shorter, and every token
+    of every document lies in exactly one block. It is packed in groups of about group_docs documents, so no task
+    holds a whole source: where each group begins follows from the groups' sums, and the blocks that lie across
+    groups, one or two a group, are put together afterwards.
     """
-    groups = max(1, math.ceil(sizes.count() / GROUP_DOCS))
-    schema = "source string, grp bigint, k bigint, n_tokens bigint, spans array<struct<doc_id:bigint,first:bigint,n:bigint>>"
-    blocks = written(sizes.withColumn("grp", F.pmod(F.xxhash64("doc_id"), F.lit(groups))).groupBy("source", "grp").applyInArrow(_pack(block_tokens), schema), "mix-blocks")
-    w = Window.partitionBy("source").orderBy("grp").rowsBetween(Window.unboundedPreceding, -1)
-    starts = blocks.groupBy("source", "grp").agg(F.count("*").alias("n")).withColumn("start", F.coalesce(F.sum("n").over(w), F.lit(0))).select("source", "grp", "start")
-    return blocks.join(starts, ["source", "grp"]).select("source", (F.col("start") + F.col("k")).alias("block"), "n_tokens", "spans")
+    groups = max(1, math.ceil(sizes.count() / group_docs))
+    rows = sizes.withColumn("grp", F.pmod(F.xxhash64("doc_id"), F.lit(groups)))
+    before = Window.partitionBy("source").orderBy("grp").rowsBetween(Window.unboundedPreceding, -1)
+    sums = rows.groupBy("source", "grp").agg(F.sum("n_tokens").alias("n")).select("source", "grp", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    blocks = written(rows.join(sums, ["source", "grp"]).groupBy("source", "grp").applyInArrow(_pack(block_tokens), BLOCK), "mix-blocks")
+    pieces = F.array_sort(F.collect_list(F.struct("grp", "spans")))
+    across = blocks.where(F.col("n_tokens") < block_tokens).groupBy("source", "block").agg(F.sum("n_tokens").alias("n_tokens"), F.flatten(F.transform(pieces, lambda x: x["spans"])).alias("spans"))
+    return blocks.where(F.col("n_tokens") == block_tokens).drop("grp").unionByName(across)
 
 
 def permuted(index: np.ndarray, n: int, key: int) -> np.ndarray:
@@ -131,7 +142,8 @@ def draw(weights: list[float], blocks: list[int], repeats: list[int], shard_slot
     """Blocks of each source in each shard (shards x sources): multinomial draws, within every source's capacity.
 
     The total is the largest at which no source needs more than its blocks times repeats, less a margin for the
-    spread of the draws; should a draw pass a capacity all the same, the total shrinks and all is drawn again.
+    spread of the draws; should a draw pass a capacity all the same, the total shrinks and all is drawn again, down
+    to nothing at all if a source has no room. ValueError should that not end.
     """
     w = np.array(weights, dtype=float)
     room = np.array(blocks, dtype=float) * np.array(repeats)
@@ -139,14 +151,14 @@ def draw(weights: list[float], blocks: list[int], repeats: list[int], shard_slot
     total = int(np.min(room[p > 0] / p[p > 0]))
     while total > 0 and np.any(total * p + 3 * np.sqrt(total * p * (1 - p)) > room) and total > 50:
         total = int(total * 0.99)
-    for attempt in range(1000):
+    for attempt in range(10_000):
         shards = max(1, math.ceil(total / shard_slots))
         sizes = np.full(shards, total // shards) + (np.arange(shards) < total % shards)
         counts = np.array([np.random.default_rng([seed, attempt, s]).multinomial(n, p) for s, n in enumerate(sizes)]).reshape(shards, len(p))
         if np.all(counts.sum(axis=0) <= room):
             return counts
         total = min(total - 1, int(total * 0.99))
-    return np.zeros((1, len(p)), dtype=np.int64)
+    raise ValueError(f"no draw keeps within the sources: weights {weights}, blocks {blocks}, repeats {repeats}")
 
 
 def mixture(blocks: DataFrame, targets: DataFrame, shard_slots: int = 50_000, seed: int = 42) -> DataFrame:
@@ -200,8 +212,9 @@ def shares(mixed: DataFrame, blocks: DataFrame, targets: DataFrame) -> DataFrame
     )
 
 
-def materialized(mixed: DataFrame, documents: DataFrame, ranks_path: str = RANKS) -> DataFrame:
+def materialized(mixed: DataFrame, documents: DataFrame, ranks_path: str | None = None) -> DataFrame:
     """shard, slot, source, tokens: the mixture's blocks as token ids, cut from the documents' texts again."""
+    ranks_path = ranks_path or ranks_of(mixed.sparkSession)
     spans = mixed.select("shard", "slot", "source", F.posexplode("spans").alias("k", "span")).select("shard", "slot", "source", "k", "span.doc_id", "span.first", "span.n")
     pieces = spans.join(documents.select("doc_id", "text"), "doc_id")
 

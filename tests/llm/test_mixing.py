@@ -4,7 +4,7 @@ import random
 import numpy as np
 import pytest
 
-from morphlake.llm.mixing import RANKS, Tokenizer, draw, materialized, mixture, packed, permuted, shares, sized
+from morphlake.llm.mixing import RANKS, RANKS_SETTING, Tokenizer, draw, materialized, mixture, packed, permuted, ranks_of, shares, sized
 
 pytestmark = pytest.mark.skipif(not os.path.exists(RANKS), reason="no tokenizer files")
 
@@ -29,6 +29,16 @@ def test_draws_keep_to_capacity():
     assert total[0] <= 1000 and total[1] <= 5000 and total[2] <= 5000 and counts.sum() > 3300
     assert abs(total[2] / total.sum() - 0.5) < 0.05 and counts.sum(axis=1).max() <= 101
     assert draw([1, 1], [1, 1], [1, 1], 10, 1).sum() <= 2
+    assert draw([1, 1], [0, 5], [1, 1], 10, 1).sum() == 0
+
+
+def test_another_vocabulary(spark):
+    assert ranks_of(spark) == RANKS
+    spark.conf.set(RANKS_SETTING, "/else/where")
+    try:
+        assert ranks_of(spark) == "/else/where"
+    finally:
+        spark.conf.unset(RANKS_SETTING)
 
 
 def test_mixture(spark):
@@ -41,7 +51,7 @@ def test_mixture(spark):
     targets = spark.createDataFrame([("big", 30.0, 1), ("SMALL", 20.0, 3), ("absent", 5.0, 1), ("zero", 0.0, 1), (None, 1.0, 1)], "source string, weight double, max_repeat int")
     sizes = sized(df, targets).cache()
     assert {r.source for r in sizes.collect()} == {"big", "small"}
-    blocks = packed(sizes, block_tokens=64).cache()
+    blocks = packed(sizes, block_tokens=64, group_docs=100).cache()
     spans = {}
     for r in blocks.collect():
         assert r.n_tokens == sum(s.n for s in r.spans) and 0 < r.n_tokens <= 64
@@ -56,6 +66,8 @@ def test_mixture(spark):
     for s in ("big", "small"):
         numbers = sorted(r.block for r in blocks.where(f"source = '{s}'").collect())
         assert numbers == list(range(len(numbers)))
+        short = [r.block for r in blocks.where(f"source = '{s}' and n_tokens < 64").collect()]
+        assert short in ([], [len(numbers) - 1])  # only the last, though the source is packed in several groups
     mixed = mixture(blocks, targets, shard_slots=50, seed=3).cache()
     uses = {(r.source, r.block): r["count"] for r in mixed.groupBy("source", "block").count().collect()}
     assert max(n for (s, _), n in uses.items() if s == "big") == 1 and max(n for (s, _), n in uses.items() if s == "small") <= 3
