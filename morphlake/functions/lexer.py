@@ -46,10 +46,10 @@ def _any(conditions: list[Column]) -> Column:
     return out
 
 
-def exploded(df: DataFrame, text_col: str = "text", mask: int = ALL_TOKENS, least: int = 0, most: int = 512, drop_last: bool = False) -> DataFrame:
+def exploded(df: DataFrame, text_col: str = "text", mask: int = ALL_TOKENS, least: int = 0, most: int | None = None, drop_last: bool = False) -> DataFrame:
     """df without text_col, a row for each token: pos (from 0, before any filter), text, type, size (code points).
 
-    Kept are tokens whose type is in mask and whose size lies between least and most. drop_last leaves out the
+    Kept are tokens whose type is in mask and whose size lies between least and most, if given. drop_last leaves out the
     last token of each text, as a reader does that misses what stands before the end of a file. Null and empty
     texts give no rows. Columns of df named like a new one are replaced.
     """
@@ -59,11 +59,24 @@ def exploded(df: DataFrame, text_col: str = "text", mask: int = ALL_TOKENS, leas
     keep = [c for c in df.columns if c not in (text_col, "pos", "text", "type", "size")]
     rows = df.select(*keep, F.posexplode(words).alias("pos", "text"))
     typed = rows.withColumn("type", token_type(F.col("text"))).withColumn("size", F.char_length("text"))
-    return typed.where((F.col("type").bitwiseAND(mask) != 0) & F.col("size").between(least, most))
+    return typed.where((F.col("type").bitwiseAND(mask) != 0) & _between(F.col("size"), least, most))
 
 
-def words(df: DataFrame, text_col: str = "text", least: int = 1, most: int = 64) -> DataFrame:
-    """df without text_col, a row for each Russian word in lower case: pos (number of the word in its text), word."""
+def _between(size: Column, least: int, most: int | None) -> Column:
+    return size >= least if most is None else size.between(least, most)
+
+
+def words(df: DataFrame, text_col: str = "text", least: int = 1, most: int | None = None) -> DataFrame:
+    """df without text_col, a row for each Russian word in lower case, of least to most code points: pos (number of the word in its text), word."""
     keep = [c for c in df.columns if c not in (text_col, "pos", "word")]
     rows = df.select(*keep, F.posexplode(tokens(text_col, TokenType.RUWORD)).alias("pos", "word")).withColumn("word", F.lower("word"))
-    return rows.where(F.char_length("word").between(least, most))
+    return rows.where(_between(F.char_length("word"), least, most))
+
+
+def first_words(df: DataFrame, text_col: str = "text") -> DataFrame:
+    """words() without those that occurred before in their text; rows of a text come in the order of words."""
+    keep = [c for c in df.columns if c not in (text_col, "pos", "word")]
+    places = F.array_sort(F.transform(F.transform(tokens(text_col, TokenType.RUWORD), F.lower), lambda w, i: F.struct(w.alias("word"), i.alias("pos"))))
+    rows = df.select(*keep, places.alias("__w"))
+    first = F.filter("__w", lambda x, i: (i == 0) | (F.get("__w", i - 1)["word"] != x["word"]))
+    return rows.select(*keep, F.inline(first)).select(*keep, "pos", "word")

@@ -10,49 +10,69 @@ from morphlake.schema import PAD, UNK
 # Tags by standard and category, in the order of their ids, which begin at 2.
 TAGS = {
     "UPOS": {
-        "POS": "ADJ ADP ADV AUX CCONJ DET INTJ NOUN NUM PART PRON PROPN PUNCT SCONJ SYM VERB X",
-        "GENDER": "Gender=Masc Gender=Fem Gender=Neut",
-        "NUMBER": "Number=Sing Number=Plur",
-        "CASE": "Case=Nom Case=Gen Case=Dat Case=Acc Case=Ins Case=Loc Case=Voc",
+        "POS": ["ADJ", "ADP", "ADV", "AUX", "CCONJ", "DET", "INTJ", "NOUN", "NUM", "PART", "PRON", "PROPN", "PUNCT", "SCONJ", "SYM", "VERB", "X"],
+        "GENDER": ["Gender=Masc", "Gender=Fem", "Gender=Neut"],
+        "NUMBER": ["Number=Sing", "Number=Plur"],
+        "CASE": ["Case=Nom", "Case=Gen", "Case=Dat", "Case=Acc", "Case=Ins", "Case=Loc", "Case=Voc"],
     },
     "RUCORPORA": {
-        "POS": "S A NUM ANUM V ADV PRAEDIC PARENTH SPRO APRO ADVPRO PRAEDICPRO PR CONJ PART INTJ INIT NONLEX",
-        "GENDER": "m f m-f n",
-        "NUMBER": "sg pl",
-        "CASE": "nom gen dat acc ins loc gen2 acc2 loc2 voc adnum",
+        "POS": [
+            "S", "A", "NUM", "ANUM", "V", "ADV", "PRAEDIC", "PARENTH", "SPRO", "APRO", "ADVPRO", "PRAEDICPRO", "PR", "CONJ", "PART", "INTJ",
+            "INIT", "NONLEX",
+        ],
+        "GENDER": ["m", "f", "m-f", "n"],
+        "NUMBER": ["sg", "pl"],
+        "CASE": ["nom", "gen", "dat", "acc", "ins", "loc", "gen2", "acc2", "loc2", "voc", "adnum"],
     },
     "OPENCORPORA": {
-        "POS": "NOUN ADJF ADJS COMP VERB INFN PRTF PRTS GRND NUMR ADVB NPRO PRED PREP CONJ PRCL INTJ",
-        "GENDER": "masc femn neut ms-f",
-        "NUMBER": "sing plur",
-        "CASE": "nomn gent datv accs ablt loct voct gen2 acc2 loc2",
+        "POS": [
+            "NOUN", "ADJF", "ADJS", "COMP", "VERB", "INFN", "PRTF", "PRTS", "GRND", "NUMR", "ADVB", "NPRO", "PRED", "PREP", "CONJ", "PRCL",
+            "INTJ",
+        ],
+        "GENDER": ["masc", "femn", "neut", "ms-f"],
+        "NUMBER": ["sing", "plur"],
+        "CASE": ["nomn", "gent", "datv", "accs", "ablt", "loct", "voct", "gen2", "acc2", "loc2"],
     },
-}
+}
 # What each tag of the other two standards is in UPOS.
 TO_UPOS = {
     "RUCORPORA": {
-        "POS": "S:NOUN A:ADJ NUM:NUM ANUM:ADJ V:VERB ADV:ADV PRAEDIC:ADV PARENTH:ADV SPRO:PRON APRO:DET ADVPRO:ADV PRAEDICPRO:PRON PR:ADP CONJ:CCONJ PART:PART INTJ:INTJ INIT:PROPN NONLEX:X",
-        "GENDER": "m:Gender=Masc f:Gender=Fem n:Gender=Neut m-f:Gender=Masc",
-        "NUMBER": "sg:Number=Sing pl:Number=Plur",
-        "CASE": "nom:Case=Nom gen:Case=Gen gen2:Case=Gen dat:Case=Dat acc:Case=Acc acc2:Case=Acc ins:Case=Ins loc:Case=Loc loc2:Case=Loc voc:Case=Voc adnum:Case=Gen",
+        "POS": {
+            "S": "NOUN", "A": "ADJ", "NUM": "NUM", "ANUM": "ADJ", "V": "VERB", "ADV": "ADV", "PRAEDIC": "ADV", "PARENTH": "ADV",
+            "SPRO": "PRON", "APRO": "DET", "ADVPRO": "ADV", "PRAEDICPRO": "PRON", "PR": "ADP", "CONJ": "CCONJ", "PART": "PART",
+            "INTJ": "INTJ", "INIT": "PROPN", "NONLEX": "X",
+        },
+        "GENDER": {"m": "Gender=Masc", "f": "Gender=Fem", "n": "Gender=Neut", "m-f": "Gender=Masc"},
+        "NUMBER": {"sg": "Number=Sing", "pl": "Number=Plur"},
+        "CASE": {
+            "nom": "Case=Nom", "gen": "Case=Gen", "gen2": "Case=Gen", "dat": "Case=Dat", "acc": "Case=Acc", "acc2": "Case=Acc",
+            "ins": "Case=Ins", "loc": "Case=Loc", "loc2": "Case=Loc", "voc": "Case=Voc", "adnum": "Case=Gen",
+        },
     },
     "OPENCORPORA": {
-        "POS": "NOUN:NOUN ADJF:ADJ ADJS:ADJ COMP:ADJ PRTF:ADJ PRTS:ADJ VERB:VERB INFN:VERB GRND:VERB NUMR:NUM ADVB:ADV NPRO:PRON PRED:ADV PREP:ADP CONJ:CCONJ PRCL:PART INTJ:INTJ",
-        "GENDER": "masc:Gender=Masc femn:Gender=Fem neut:Gender=Neut ms-f:Gender=Masc",
-        "NUMBER": "sing:Number=Sing plur:Number=Plur",
-        "CASE": "nomn:Case=Nom gent:Case=Gen gen2:Case=Gen datv:Case=Dat accs:Case=Acc acc2:Case=Acc ablt:Case=Ins loct:Case=Loc loc2:Case=Loc voct:Case=Voc",
+        "POS": {
+            "NOUN": "NOUN", "ADJF": "ADJ", "ADJS": "ADJ", "COMP": "ADJ", "PRTF": "ADJ", "PRTS": "ADJ", "VERB": "VERB", "INFN": "VERB",
+            "GRND": "VERB", "NUMR": "NUM", "ADVB": "ADV", "NPRO": "PRON", "PRED": "ADV", "PREP": "ADP", "CONJ": "CCONJ", "PRCL": "PART",
+            "INTJ": "INTJ",
+        },
+        "GENDER": {"masc": "Gender=Masc", "femn": "Gender=Fem", "neut": "Gender=Neut", "ms-f": "Gender=Masc"},
+        "NUMBER": {"sing": "Number=Sing", "plur": "Number=Plur"},
+        "CASE": {
+            "nomn": "Case=Nom", "gent": "Case=Gen", "gen2": "Case=Gen", "datv": "Case=Dat", "accs": "Case=Acc", "acc2": "Case=Acc",
+            "ablt": "Case=Ins", "loct": "Case=Loc", "loc2": "Case=Loc", "voct": "Case=Voc",
+        },
     },
-}
+}
 
 
 def tag_rows() -> list[tuple[str, str, str, int]]:
     """(standard, category, tag, id), padding 0 and unknown 1 included."""
-    return [(s, c, t, i) for s, cs in TAGS.items() for c, tags in cs.items() for i, t in enumerate([PAD, UNK, *tags.split()])]
+    return [(s, c, t, i) for s, cs in TAGS.items() for c, tags in cs.items() for i, t in enumerate([PAD, UNK, *tags])]
 
 
 def crosswalk_rows() -> list[tuple[str, str, str, str]]:
     """(source standard, category, tag, UPOS tag)."""
-    return [(s, c, *pair.split(":", 1)) for s, cs in TO_UPOS.items() for c, pairs in cs.items() for pair in pairs.split()]
+    return [(s, c, *pair) for s, cs in TO_UPOS.items() for c, pairs in cs.items() for pair in pairs.items()]
 
 
 def tagset(spark: SparkSession) -> DataFrame:

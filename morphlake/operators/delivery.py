@@ -7,8 +7,12 @@ identifier the first delivery wins; the winners' places become one bitmap for ea
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from morphlake.functions.keys import trimmed, word_key
 from morphlake.operators.shared import new_path
@@ -33,28 +37,43 @@ def _placed(spark: SparkSession, path: str) -> DataFrame:
 
 def _check_files(df: DataFrame) -> None:
     """File names stand for themselves by a 64-bit hash; two files of one hash would share a bitmap."""
-    spark = df.sparkSession
-    n = len(df.inputFiles())
-    hashes = df.select("_metadata.file_path").distinct().select(F.countDistinct(F.xxhash64("file_path"))) if n > 1_000_000 else None
-    if hashes is not None and hashes.first()[0] != df.select("_metadata.file_path").distinct().count():
-        raise ValueError(f"two of {n} files share a hash; read them as two tables in {spark.sparkContext.appName}")
+    names = df.sparkSession.createDataFrame([(f,) for f in df.inputFiles()], "f string")
+    n, hashes = names.agg(F.countDistinct("f"), F.countDistinct(F.xxhash64("f"))).first()
+    if hashes != n:
+        raise ValueError(f"two of {n} files share a hash; read them as two tables")
+
+
+def _rank(df: DataFrame, order_col: str) -> Column | None:
+    """The order as a bigint, null before all; None if its type isn't one that a bigint can hold."""
+    kind = df.schema[order_col].dataType
+    if isinstance(kind, T.TimestampType):
+        return F.coalesce(F.unix_micros(order_col), F.lit(-(1 << 63)))
+    return F.coalesce(F.col(order_col).cast("bigint"), F.lit(-(1 << 63))) if isinstance(kind, T.IntegralType) else None
 
 
 def keep_bitmaps(spark: SparkSession, path: str, keys: tuple[Column, Column], order_col: str) -> str:
     """Write file, block, bits of the rows that win their identifier; returns the table's path.
 
-    A row without one of the keys takes part in nothing here: it is kept without a bit. The least order wins,
-    then file and row number. Winners are found by aggregation with a partial step in each map task, so an
-    identifier that a third of all rows carry costs no task more than one row from each other task.
+    A row without one of the keys takes part in nothing here: it is kept without a bit. The least order wins, a
+    missing one before all; of rows that tie, one wins. Winners are found by aggregation with a partial step in each
+    map task, so an identifier that a third of all rows carry costs no task more than one row from each other task.
+    Where the order is a number or time, Spark hashes instead of sorting: file and place are two aggregates that see
+    the same rows in the same order, so both are those of one row.
     """
     rows = _placed(spark, path)
     _check_files(spark.read.parquet(path))
-    slim = rows.select(keys[0].alias("k0"), keys[1].alias("k1"), F.struct(F.col(order_col).alias("o"), F.col(_FILE).alias("f"), F.col(_POS).alias("p")).alias("at"))
-    best = slim.where("k0 is not null and k1 is not null").groupBy("k0", "k1").agg(F.min("at").alias("at"))
-    place = best.select(F.col("at.f").alias("file"), F.expr("bitmap_bucket_number(at.p + 1)").alias("block"), F.expr("bitmap_bit_position(at.p + 1)").alias("bit"))
+    rank = _rank(rows, order_col)
+    slim = rows.select(keys[0].alias("k0"), keys[1].alias("k1"), (F.col(order_col) if rank is None else rank).alias("o"), F.col(_FILE).alias("f"), F.col(_POS).alias("p"))
+    groups = slim.where("k0 is not null and k1 is not null").groupBy("k0", "k1")
+    if rank is None:
+        best = groups.agg(F.min(F.struct("o", "f", "p")).alias("at")).select("at.f", "at.p")
+    else:
+        best = groups.agg(F.min_by("f", "o").alias("f"), F.min_by("p", "o").alias("p")).select("f", "p")
+    place = best.select(F.col("f").alias("file"), F.expr("bitmap_bucket_number(p + 1)").alias("block"), F.expr("bitmap_bit_position(p + 1)").alias("bit"))
     out = new_path(spark, "keep-bitmaps")
     # by place first: a partial bitmap of every block in every task would be larger than the places
-    place.repartition("file", "block").groupBy("file", "block").agg(F.expr("bitmap_construct_agg(bit)").alias("bits")).write.parquet(out)
+    maps = place.repartition("file", "block").groupBy("file", "block").agg(F.expr("bitmap_construct_agg(bit)").alias("bits"))
+    maps.repartition("file").sortWithinPartitions("file", "block").write.parquet(out)  # a file's bitmaps lie together
     return out
 
 
@@ -65,37 +84,37 @@ def _bit() -> Column:
     return F.expr(f"coalesce((shiftright({byte}, cast({spot} % 8 as int)) & 1) = 1, false)")
 
 
-def _side_loaded(rows: DataFrame, bitmaps: str, flag: str) -> DataFrame:
-    """rows with flag from bitmaps that each task loads for the files it meets, from the shared folder."""
-    import pyarrow as pa
+def _side_loaded(bitmaps: str) -> Column:
+    """Whether a row wins, by bitmaps that each task loads from the shared folder: those of a file once, when it is met.
 
-    names = rows.columns
+    Only file and place go to Python, the rows themselves wait in the JVM.
+    """
 
-    def run(batches):
+    @F.pandas_udf("boolean")
+    def won(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         import numpy as np
         import pyarrow.dataset as ds
+        from pyarrow.fs import FileSystem
 
-        at = bitmaps[len("file://") :] if bitmaps.startswith("file://") else bitmaps
-        table, known = ds.dataset(at, format="parquet"), {}
-        for b in batches:
-            file, pos = b.column(names.index(_FILE)).to_numpy(), b.column(names.index(_POS)).to_numpy()
+        fs, at = FileSystem.from_uri(bitmaps) if ":" in bitmaps else (None, bitmaps)
+        table, of, bits = ds.dataset(at, format="parquet", filesystem=fs), None, {}
+        for file, pos in parts:
+            file, pos = file.to_numpy(), pos.to_numpy()
             hit = np.zeros(len(pos), dtype=bool)
             for f in np.unique(file):
-                for block in np.unique(pos[file == f] // ROWS_A_BITMAP):
-                    key = (int(f), int(block) + 1)
-                    if key not in known:
-                        if len(known) > 4_096:
-                            known.clear()
-                        got = table.to_table(columns=["bits"], filter=(ds.field("file") == key[0]) & (ds.field("block") == key[1]))["bits"].to_pylist()
-                        known[key] = np.unpackbits(np.frombuffer(got[0], dtype=np.uint8), bitorder="little").astype(bool) if got else None
-                    if known[key] is not None:
-                        own = (file == f) & (pos // ROWS_A_BITMAP == block)
-                        hit[own] = known[key][pos[own] % ROWS_A_BITMAP]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(hit)], names=[*names, flag])
-
-    from pyspark.sql.types import BooleanType, StructField, StructType
+                if f != of:
+                    got = table.to_table(columns=["block", "bits"], filter=ds.field("file") == int(f))
+                    of, bits = f, dict(zip(got["block"].to_pylist(), got["bits"], strict=True))
+                own = np.flatnonzero(file == f)
+                blocks = pos[own] // ROWS_A_BITMAP
+                for block in np.unique(blocks):
+                    if (held := bits.get(int(block) + 1)) is not None:
+                        here = own[blocks == block]
+                        spot = pos[here] % ROWS_A_BITMAP
+                        hit[here] = np.frombuffer(held.as_buffer(), dtype=np.uint8)[spot >> 3] >> (spot & 7) & 1
+            yield pd.Series(hit)
 
-    return rows.mapInArrow(run, StructType([*rows.schema.fields, StructField(flag, BooleanType())]))
+    return won(F.col(_FILE), F.col(_POS))
 
 
 def _flagged(spark: SparkSession, path: str, bitmaps: str, columns: list[str], keys: tuple[Column, Column], most_broadcast: int) -> DataFrame:
@@ -108,7 +127,7 @@ def _flagged(spark: SparkSession, path: str, bitmaps: str, columns: list[str], k
         held = needed.withColumn("__block", block).join(F.broadcast(bits.select(F.col("file").alias(_FILE), F.col("block").alias("__block"), F.col("bits").alias("__bits"))), [_FILE, "__block"], "left")
         marked = held.withColumn("__won", _bit())
     else:
-        marked = _side_loaded(needed, bitmaps, "__won")
+        marked = needed.withColumn("__won", _side_loaded(bitmaps))
     return marked.select(*columns, (F.col("__keyed") & ~F.col("__won")).alias("__superfluous"))
 
 
@@ -117,7 +136,7 @@ def delivered_once(spark: SparkSession, path: str, id_col: str = "msg_id", word_
 
     A message is identifier (letter case and blanks at the edges left aside) and word key. Rows without
     identifier or word key are all kept, as are messages with an identifier but another word. Of rows that tie
-    in order, the first place in the files stays. An empty table gives an empty result.
+    in order, one stays. An empty table gives an empty result.
     """
     keys = message_key(id_col, word_col)
     marked = _flagged(spark, path, keep_bitmaps(spark, path, keys, order_col), spark.read.parquet(path).columns, keys, most_broadcast)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from morphlake.functions.lexer import first_words
 from morphlake.schema import MAX_WORD, PROMOTED
 
 
@@ -61,10 +62,16 @@ def mark_seen(seen: DataFrame, new: DataFrame) -> DataFrame:
     return _keys(seen).unionByName(_keys(new)).distinct()
 
 
-def first_occurrences(words: DataFrame, doc_col: str = "doc_id") -> DataFrame:
-    """word, doc_col, pos of the first place of each word."""
-    first = words.groupBy("word").agg(F.min(F.struct(doc_col, "pos")).alias("at"))
-    return first.select("word", f"at.{doc_col}", "at.pos")
+def first_occurrences(texts: DataFrame, doc_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """word, doc_col, pos (number of the word in its text) of the first place of each Russian word.
+
+    Repeats within a text are dropped in the row itself; what is left is aggregated on plain numbers, which Spark
+    hashes, with a partial step: a frequent word costs no task more than a row from each other task. doc_col is a
+    number, a text's own: of texts that share one, one counts.
+    """
+    rows = first_words(texts.select(doc_col, text_col), text_col)
+    first = rows.groupBy("word").agg(F.min(doc_col).alias("__doc"), F.min_by("pos", doc_col).alias("pos"))
+    return first.select("word", F.col("__doc").alias(doc_col), "pos")
 
 
 def sizes(base: DataFrame, validated: DataFrame, seen: DataFrame) -> DataFrame:

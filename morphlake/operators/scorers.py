@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import atexit
+import hashlib
+import os
+import shutil
+import tempfile
 from collections.abc import Mapping
 from typing import Protocol
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from morphlake.functions.encode import chars, encoded, literal_map
+from morphlake.operators.shared import folder_of
 from morphlake.schema import CHARS, LABELS, MODEL_BATCH, MORPHEME_NAMES, SCORED
 
 
@@ -71,7 +77,41 @@ class TableScorer:
         return held.select("word", F.coalesce("tag_ids", root).alias("tag_ids"), F.coalesce("confs", F.array_repeat(F.lit(self.other).cast("float"), n)).cast("array<float>").alias("confs"))
 
 
+def table_network(path: str, scores: list[list[float]]) -> str:
+    """Write an ONNX network that looks each character's scores up by its id; returns the local path.
+
+    The smallest network with the shape of a tagger, ids (words x characters) to scores (words x characters x labels):
+    for tests and as a baseline. Messages are laid out by ONNX's public protobuf schema, whose field numbers are below.
+    """
+    import struct
+
+    def varint(n: int) -> bytes:
+        out = b""
+        while n > 127:
+            out, n = out + bytes([n & 127 | 128]), n >> 7
+        return out + bytes([n])
+
+    def number(tag: int, n: int) -> bytes:
+        return varint(tag << 3) + varint(n)
+
+    def field(tag: int, data: bytes | str) -> bytes:
+        raw = data.encode() if isinstance(data, str) else data
+        return varint(tag << 3 | 2) + varint(len(raw)) + raw
+
+    floats, ints = 1, 6  # element types
+    size, labels = len(scores), len(scores[0])
+    table = number(1, size) + number(1, labels) + number(2, floats) + field(8, "scores") + field(9, struct.pack(f"<{size * labels}f", *[x for row in scores for x in row]))
+    node = field(1, "scores") + field(1, "ids") + field(2, "logits") + field(3, "look-up") + field(4, "Gather")
+    named = lambda dims: b"".join(field(1, number(1, d) if isinstance(d, int) else field(2, d)) for d in dims)
+    value = lambda name, kind, dims: field(1, name) + field(2, field(1, number(1, kind) + field(2, named(dims))))
+    graph = field(1, node) + field(2, "table") + field(5, table) + field(11, value("ids", ints, ["words", "chars"])) + field(12, value("logits", floats, ["words", "chars", labels]))
+    with open(path, "wb") as out:
+        out.write(number(1, 8) + field(7, graph) + field(8, field(1, "") + number(2, 13)))  # IR version, graph, operator set
+    return path
+
+
 _SESSIONS: dict = {}
+_SHIPPED: set[tuple[str, str]] = set()
 
 
 class OnnxScorer:
@@ -94,25 +134,45 @@ class OnnxScorer:
             return [*gpu, order[2]]
         return [p for p in order if p in available]
 
-    def session(self):
-        key = (self.weights, self.device)
+    def session(self, name: str):
+        """This worker's session of the shipped file; made once."""
+        key = (name, self.device)
         if key not in _SESSIONS:
             import onnxruntime as ort
             from pyspark import SparkFiles
 
-            path = SparkFiles.get(self.weights.rsplit("/", 1)[-1])
-            _SESSIONS[key] = ort.InferenceSession(path, providers=self.providers(self.device, ort.get_available_providers()))
+            _SESSIONS[key] = ort.InferenceSession(SparkFiles.get(name), providers=self.providers(self.device, ort.get_available_providers()))
         return _SESSIONS[key]
 
+    def _ship(self, spark: SparkSession) -> str:
+        """Send the weights to all machines under a name made of their contents, as files of one name would clash."""
+        with tempfile.TemporaryDirectory(prefix="morphlake-weights-") as folder:
+            at = os.path.join(folder, "weights")
+            if ":" in self.weights:
+                source, fs = folder_of(spark, self.weights)
+                fs.copyToLocalFile(False, source, spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"file://{at}"), True)
+            else:
+                shutil.copyfile(self.weights, at)
+            with open(at, "rb") as f:
+                name = hashlib.file_digest(f, "sha256").hexdigest() + ".onnx"
+            if (spark.sparkContext.applicationId, name) not in _SHIPPED:
+                os.rename(at, os.path.join(folder, name))
+                kept = os.path.join(tempfile.mkdtemp(prefix="morphlake-weights-"), name)  # executors fetch it when they need it
+                atexit.register(shutil.rmtree, os.path.dirname(kept), ignore_errors=True)
+                shutil.move(os.path.join(folder, name), kept)
+                spark.sparkContext.addFile(kept)
+                _SHIPPED.add((spark.sparkContext.applicationId, name))
+        return name
+
     def score(self, words: DataFrame) -> DataFrame:
-        words.sparkSession.sparkContext.addFile(self.weights)
+        shipped = self._ship(words.sparkSession)
         scorer = self
 
         def run(frames):
             import numpy as np
             import pandas as pd
 
-            session = scorer.session()
+            session = scorer.session(shipped)
             name = session.get_inputs()[0].name
             unk = scorer.chars.get("<UNK>", 1)
             for frame in frames:

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import json
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -18,14 +20,18 @@ def shared_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     at = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not at:
-        at = "file://" + tempfile.mkdtemp(prefix="morphlake-")
+        local = tempfile.mkdtemp(prefix="morphlake-")
+        atexit.register(shutil.rmtree, local, ignore_errors=True)
+        at = f"file://{local}"
         sc.setCheckpointDir(at)
     return at
 
 
 def new_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that nothing else uses."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _given.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -49,6 +55,16 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
 
 
+_given: dict[str, list[str]] = {}
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all that this session's queries have put into the shared folder. Call it when their results have been
+    written or read: a DataFrame not yet evaluated may still need its tables."""
+    for path in _given.pop(spark.sparkContext.applicationId, []):
+        remove(spark, path)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a table of the shared folder; a missing one is no error."""
     jvm = spark.sparkContext._jvm
@@ -56,6 +72,27 @@ def remove(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+#: A state store on disk: memory doesn't grow with the keys.
+STATE_STORE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "300",
+    "spark.sql.streaming.minBatchesToRetain": "2",
+}
+
+
+def folder_of(spark: SparkSession, path: str):
+    """A path and its file system, as Hadoop has them."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    at, fs = folder_of(spark, path)
+    return fs.exists(at)
+
+
 @contextmanager
 def set_for(spark: SparkSession, settings: dict[str, str]):
     """Session settings for a while; those before come back."""

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from morphlake.functions.decode import python_round, segments, tag_columns, word_confidence
+from morphlake.functions.decode import exact_round, segments, tag_columns, word_confidence
 from morphlake.functions.lexer import words
 from morphlake.operators.lexicon import first_occurrences, latest, lookup, mark_seen, not_in, promoted, unseen
 from morphlake.operators.scorers import OnnxScorer, Scorer
 from morphlake.operators.shared import written
-from morphlake.schema import LABELS, LEXICON, MAX_WORD, PROMOTED
+from morphlake.schema import LABELS, LEXICON, MAX_WORD, PREDICTIONS, PROMOTED
 from morphlake.sinks.logs import LogWriter
 from morphlake.sources.tables import Bundle, base_dict
 from morphlake.sources.text import source
@@ -22,10 +22,11 @@ def predictions(new_words: DataFrame, scorer: Scorer, labels: dict[str, int] = L
     rounded: the confidence is rounded to 4 digits by its exact value, which is what a threshold then sees.
     """
     scored = scorer.score(new_words)
-    done = scored.withColumn("d", segments(F.col("word"), tag_columns(F.col("tag_ids"), labels=labels), F.col("confs"), repair))
     conf = word_confidence(F.col("word"), F.transform("confs", lambda c: c.cast("double")))
+    done = scored.withColumn("conf", conf).withColumn("d", segments(F.col("word"), tag_columns(F.col("tag_ids"), labels=labels), F.col("confs"), repair))
+    conf = F.col("conf")
     return done.select(
-        "word", F.col("d.morphemes").alias("morphemes"), (python_round()(conf) if rounded else conf).alias("confidence"),
+        "word", F.col("d.morphemes").alias("morphemes"), (exact_round(conf) if rounded else conf).alias("confidence"),
         F.lit(scorer.name).alias("model"), F.col("d.repaired").alias("repaired"), F.lit(False).alias("validated"),
     )
 
@@ -47,35 +48,29 @@ class Engine:
     @classmethod
     def from_pretrained(cls, spark: SparkSession, folder: str, output: str | None = None, dictionary: str | None = None, device: str = "auto", scorer: Scorer | None = None, **options) -> Engine:
         """The engine of a bundle; its weights must be there unless a scorer is given."""
-        bundle = Bundle.load(folder, need_weights=scorer is None)
+        bundle = Bundle.load(folder, need_weights=scorer is None, spark=spark)
         scorer = scorer or OnnxScorer(bundle.weights, bundle.chars, bundle.maxlen, device, bundle.name)
         base = base_dict(spark, dictionary or bundle.base_dict) if dictionary or bundle.base_dict else None
         at = output or bundle.output
         return cls(spark, scorer, base, LogWriter(at, "jsonl_compat") if at else None, most=bundle.maxlen, labels=bundle.labels, **options)
 
-    def _logged(self) -> DataFrame:
-        rows = self.writer.read(self.spark) if self.writer else None
-        if rows is None:
-            rows = self.made[0] if self.made else self.spark.createDataFrame([], "word string, morphemes array<struct<text:string,type_id:int,confidence:double>>, confidence double, model string, repaired boolean, validated boolean")
-            for m in self.made[1:]:
-                rows = rows.unionByName(m)
+    def _own(self, order: str) -> DataFrame:
+        """What this engine made, and by order in which call."""
+        rows = self.spark.createDataFrame([], f"{PREDICTIONS}, {order} bigint")
+        for i, m in enumerate(self.made):
+            rows = rows.unionByName(m.withColumn(order, F.lit(i).cast("bigint")))
         return rows
 
+    def _logged(self, order: str = "__order") -> DataFrame:
+        return self.writer.read(self.spark, order) if self.writer else self._own(order)
+
     def seen(self) -> DataFrame:
         return mark_seen(self._logged().select("word"), self.spark.createDataFrame([], "word string"))
 
     def validated(self) -> DataFrame:
-        """word, morphemes of the predictions that reach the threshold, the last of each word."""
-        if self.scope == "log":
-            rows = promoted(self._logged(), self.threshold).withColumn("__seq", F.monotonically_increasing_id())
-        else:
-            rows = None
-            for i, m in enumerate(self.made):
-                own = promoted(m, self.threshold).withColumn("__seq", F.lit(i).cast("bigint"))
-                rows = own if rows is None else rows.unionByName(own)
-            if rows is None:
-                return self.spark.createDataFrame([], LEXICON)
-        return latest(rows, "__seq")
+        """word, morphemes of the predictions that reach the threshold, the one written last of each word."""
+        rows = self._logged() if self.scope == "log" else self._own("__order")
+        return latest(promoted(rows, self.threshold), "__order")
 
     def new_words(self, what) -> DataFrame:
         """word: the words of a source that neither the base dictionary nor the log has."""
@@ -84,10 +79,9 @@ class Engine:
 
     def process(self, what) -> DataFrame:
         """Score the new words of a source once each, append them to the log; returns what was appended."""
-        rows = written(predictions(self.new_words(what), self.scorer, self.labels), "predictions")
+        rows = predictions(self.new_words(what), self.scorer, self.labels)
+        rows = self.writer.write(rows) if self.writer else written(rows, "predictions")  # written once either way
         self.made.append(rows)
-        if self.writer:
-            self.writer.write(rows)
         return rows
 
     def predict(self, what) -> DataFrame:
@@ -98,7 +92,7 @@ class Engine:
         """
         docs = source(self.spark, what)
         self.process(docs)
-        return lookup(first_occurrences(words(docs, "text", 1, 512)), self.validated(), self.base).select("word", "morphemes", "doc_id", "pos")
+        return lookup(first_occurrences(docs), self.validated(), self.base).select("word", "morphemes", "doc_id", "pos")
 
     def predict_dict(self, text: str) -> dict[str, list[tuple[str, int, float]]]:
         """predict for one text, as a dict in the order of first occurrence."""

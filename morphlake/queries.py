@@ -6,22 +6,28 @@ predictions the log, tagged the input of the decoder. Arrays come out joined to
 
 from __future__ import annotations
 
+import atexit
+import os
+import shutil
+import tempfile
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from morphlake.functions.decode import segments, tag_columns, word_confidence
 from morphlake.functions.encode import best, chars, decoded, encoded, padded
-from morphlake.functions.lexer import exploded, token_type, words
+from morphlake.functions.lexer import exploded, token_type, tokens, words
 from morphlake.functions.tagsets import crosswalk_rows, tag_rows, with_tag_id, with_upos
 from morphlake.operators.batches import with_batch
 from morphlake.operators.delivery import delivered_once, superfluous
 from morphlake.operators.lexicon import first_occurrences, latest, lookup, mark_seen, members, not_in, promoted, sizes, unseen
-from morphlake.operators.scorers import ArithmeticScorer, LexiconScorer
+from morphlake.operators.scorers import ArithmeticScorer, LexiconScorer, OnnxScorer, table_network
 from morphlake.operators.shared import new_path, spread, written
 from morphlake.plans.engine import Engine, predictions
-from morphlake.schema import CHARS, LABELS, MORPHEME_NAMES, MORPHEME_TYPES
+from morphlake.schema import CHARS, LABELS, MAX_WORD, MORPHEME_NAMES, MORPHEME_TYPES, PROMOTED
 from morphlake.sinks.logs import LogWriter
 from morphlake.sources.tables import seen_words, skipped_lines
+from morphlake.sources.text import lines, source
 from morphlake.streaming.words import distinct_words, run_once
 
 
@@ -56,8 +62,6 @@ def token_type_histogram(spark, d):
 def token_types_agree(spark, d):
     """Whether the lexer's types are those that came with the batch."""
     rows = table(spark, d, "get_batch").where("text is not null and types is not null")
-    from morphlake.functions.lexer import tokens
-
     own = F.transform(tokens("text"), token_type)
     return rows.select("row_id", F.size(own).cast("bigint").alias("n_tokens"), (own == F.col("types")).alias("agree"))
 
@@ -86,10 +90,29 @@ def token_batches(spark, d):
 
 
 def token_concat(spark, d):
-    """The tokens of each text joined again, and whether that is the text."""
-    rows = exploded(texts(spark, d), most=1 << 30)
-    whole = rows.groupBy("row_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]), "").alias("whole"), F.count("*").alias("n"))
-    return whole.join(texts(spark, d), "row_id").select("row_id", "n", (F.col("whole") == F.col("text")).alias("same"))
+    """The tokens of each text joined again, and whether that is the text; row by row."""
+    rows = texts(spark, d).where("text <> ''").select("row_id", "text", tokens("text").alias("t"))
+    return rows.select("row_id", F.size("t").cast("bigint").alias("n"), (F.array_join("t", "") == F.col("text")).alias("same"))
+
+
+def mask_batches(spark, d):
+    """Batches of 512 of those tokens only that a mask lets through, Russian and Latin words, in order."""
+    rows = with_batch(exploded(texts(spark, d), mask=20, least=2).select("row_id", "pos", "size"), 512, "row_id", "pos")
+    return rows.groupBy("batch").agg(F.count("*").alias("n_tokens"), F.sum("size").alias("n_chars"), F.min("row_id").alias("first_row"))
+
+
+def file_tokens(spark, d):
+    """The texts written as text files and read by lines: tokens of each type, newlines included."""
+    path = new_path(spark, "text-files")
+    table(spark, d, "get_batch").where("text is not null").select("text").write.text(path)
+    return exploded(lines(spark, path).select("text")).groupBy("type").agg(F.count("*").alias("n"), F.sum("size").alias("n_chars"))
+
+
+def whole_file_words(spark, d):
+    """The same files as one document each: what a source of a folder finds."""
+    path = new_path(spark, "text-files")
+    table(spark, d, "get_batch").where("text is not null").select("text").write.text(path)
+    return words(source(spark, path)).groupBy("word").agg(F.count("*").alias("n"))
 
 
 # --- words
@@ -104,7 +127,7 @@ def distinct_words_(spark, d):
 
 
 def first_occurrence(spark, d):
-    return first_occurrences(ru_words(spark, d), "row_id")
+    return first_occurrences(texts(spark, d), "row_id")
 
 
 def word_length_filter(spark, d):
@@ -175,15 +198,15 @@ def encode_words(spark, d):
 
 
 def encode_lower(spark, d):
-    return table(spark, d, "seen").where("word is not null").select("word").distinct().select("word", ids_text(encoded("word", lower=True, most=8)).alias("ids"))
+    return table(spark, d, "seen").where("word is not null").select("word").distinct().select("word", ids_text(encoded("word", lower=True)).alias("ids"))
 
 
 def encode_pad(spark, d):
-    return _dict_words(spark, d).select("word", ids_text(padded(encoded("word"), 12)).alias("ids"))
+    return _dict_words(spark, d).select("word", ids_text(padded(encoded("word"), MAX_WORD)).alias("ids"))
 
 
 def decode_ids(spark, d):
-    return table(spark, d, "seen").where("word is not null").select("word").distinct().select("word", decoded(padded(encoded("word"), 16)).alias("back"))
+    return table(spark, d, "seen").where("word is not null").select("word").distinct().select("word", decoded(padded(encoded("word"), MAX_WORD)).alias("back"))
 
 
 def argmax_labels(spark, d):
@@ -224,9 +247,26 @@ def word_confidences(spark, d):
     return rows.select("case_id", word_confidence(F.col("word"), F.col("confs")).alias("confidence"))
 
 
-def _scored(spark, d):
-    new = not_in(ru_words(spark, d).select("word").distinct(), table(spark, d, "base_dict"))
-    return predictions(new, ArithmeticScorer(), rounded=False)
+def _scorable(spark, d):
+    """The words that are not too long for a model."""
+    return not_in(words(texts(spark, d), most=MAX_WORD).select("word").distinct(), table(spark, d, "base_dict"))
+
+
+def _scored(spark, d, rounded: bool = False):
+    return predictions(_scorable(spark, d), ArithmeticScorer(), rounded=rounded)
+
+
+def rounded_confidences(spark, d):
+    """Confidences of four digits, and whether the rounded value promotes the word."""
+    return _scored(spark, d, rounded=True).select("word", "confidence", (F.coalesce("confidence", F.lit(0.0)) >= PROMOTED).alias("promoted"))
+
+
+def network_scores(spark, d):
+    """Labels and confidences by a network in ONNX form, which looks the scores of a character up."""
+    path = os.path.join(tempfile.mkdtemp(prefix="morphlake-network-"), "look-up.onnx")
+    atexit.register(shutil.rmtree, os.path.dirname(path), ignore_errors=True)
+    table_network(path, [[((c * 7 + k * 11) % 32) / 32 for k in range(len(LABELS))] for c in range(len(CHARS))])  # shipped by addFile
+    return OnnxScorer(path, device="cpu").score(_scorable(spark, d)).select("word", ids_text(F.col("tag_ids")).alias("labels"), F.aggregate("confs", F.lit(0.0), lambda a, x: a + x).alias("conf_sum"))
 
 
 def predictions_(spark, d):
@@ -247,17 +287,42 @@ def lexicon_scorer(spark, d):
 
 def predict_end_to_end(spark, d):
     """Words of the texts in first-occurrence order with morphemes, from the lexicon or scored; nothing is logged."""
-    found = first_occurrences(ru_words(spark, d), "row_id")
+    found = first_occurrences(texts(spark, d), "row_id")
     base = table(spark, d, "base_dict")
-    made = predictions(not_in(found.select("word"), base), ArithmeticScorer(), rounded=False).select("word", "morphemes")
+    made = predictions(not_in(found.select("word").where(F.char_length("word") <= MAX_WORD), base), ArithmeticScorer(), rounded=False).select("word", "morphemes")
     return lookup(found, made, base).select("word", "row_id", "pos", joined(F.col("morphemes")).alias("morphemes"))
 
 
+def _predicted(spark, d, scope: str, restart: bool):
+    """Engine.predict over all texts, the accepted logged before, by the same engine or by an earlier one."""
+    rows, base = table(spark, d, "get_batch").select("row_id", "stage", "text"), table(spark, d, "base_dict")
+    path = new_path(spark, "engine-log")
+    one = lambda: Engine(spark, ArithmeticScorer(), base, LogWriter(path, "jsonl_compat"), scope=scope, threshold=0.5)
+    engine = one()
+    engine.process(rows.where("stage = 'accepted'").select("text"))
+    found = (one() if restart else engine).predict(rows.select(F.col("row_id").alias("doc_id"), "text"))
+    return found.select("word", F.col("doc_id").alias("row_id"), "pos", joined(F.col("morphemes")).alias("morphemes"))
+
+
+def engine_predict(spark, d):
+    """What an engine answers: words of the lexicon, and those whose rounded confidence reaches the threshold."""
+    return _predicted(spark, d, "session", restart=False)
+
+
+def engine_restart_log(spark, d):
+    """The same by an engine that takes up an earlier one's log: the answers are those of engine_predict."""
+    return _predicted(spark, d, "log", restart=True)
+
+
+def engine_restart_session(spark, d):
+    """The same by one that answers for its own session only: words logged before are not scored again, and missing."""
+    return _predicted(spark, d, "session", restart=True)
+
+
 def process_log_roundtrip(spark, d):
     """Process, then read the JSON lines log back: what was appended is what is read."""
     engine = Engine(spark, ArithmeticScorer(), table(spark, d, "base_dict"), LogWriter(new_path(spark, "log"), "jsonl_compat"))
-    engine.process(texts(spark, d))
-    return engine.writer.read(spark).select("word", joined(F.col("morphemes")).alias("morphemes"), "repaired", "validated")
+    return engine.process(texts(spark, d)).select("word", joined(F.col("morphemes")).alias("morphemes"), "repaired", "validated")
 
 
 def log_skip_malformed(spark, d):
@@ -300,8 +365,10 @@ def root_families(spark, d):
 
 def lexicon_coverage(spark, d):
     known = table(spark, d, "base_dict").select("word", F.lit(1).alias("known"))
-    rows = ru_words(spark, d).join(known, "word", "left")
-    return rows.groupBy("row_id").agg(F.count("*").alias("n_words"), F.count("known").alias("n_known"))
+    # a word comes once for each row that has it, counted: a frequent word isn't moved again and again
+    counted = ru_words(spark, d).groupBy("row_id", "word").agg(F.count("*").alias("n"))
+    rows = counted.join(known, "word", "left")
+    return rows.groupBy("row_id").agg(F.sum("n").alias("n_words"), F.coalesce(F.sum(F.when(F.col("known") == 1, F.col("n"))), F.lit(0)).alias("n_known"))
 
 
 def repaired_rate(spark, d):
@@ -320,11 +387,11 @@ def p6_once(spark, d):
 QUERIES = {
     f.__name__.rstrip("_"): f
     for f in (
-        token_type_histogram, token_types_agree, token_mask_filter, token_length_filter, tokens_lower, char_types, token_batches, token_concat,
+        token_type_histogram, token_types_agree, token_mask_filter, token_length_filter, tokens_lower, char_types, token_batches, token_concat, mask_batches, file_tokens, whole_file_words,
         word_frequency, distinct_words_, first_occurrence, word_length_filter, words_not_in_lexicon, words_unseen, words_in_lexicon, registry_members,
         lexicon_lookup, sorted_word_chunks, registry_upsert, promoted_words, seen_union, index_sizes, well_formed_log,
         encode_words, encode_lower, encode_pad, decode_ids, argmax_labels, label_vocab, morpheme_type_names, bies_segments, bies_repaired, word_confidences,
-        predictions_, morphemes_by_type, lexicon_scorer, predict_end_to_end, process_log_roundtrip, log_skip_malformed, stream_dedup,
+        predictions_, rounded_confidences, network_scores, morphemes_by_type, lexicon_scorer, predict_end_to_end, engine_predict, engine_restart_log, engine_restart_session, process_log_roundtrip, log_skip_malformed, stream_dedup,
         tagset_lookup, tag_crosswalk, root_families, lexicon_coverage, repaired_rate, p6_found, p6_once,
     )
 }
@@ -349,7 +416,7 @@ _TOK = f"""
 _WORDS = """
   with l as (select row_id, regexp_extract_all(text, '[А-Яа-яЁё]+') as t from get_batch where text is not null),
   u as (select row_id, lower(unnest(t)) as word, unnest(range(len(t)))::int as pos from l),
-  w as (select * from u where length(word) between 1 and 64)"""
+  w as (select * from u)"""
 _VALID = """ v as (
   select word, (arg_max({'m': morphemes}, row_id)).m as morphemes from predictions where coalesce(confidence, 0) >= 0.85 and word is not null group by word)"""
 
@@ -396,13 +463,29 @@ _CASES = f"""
           case when lv.label is null then 3 else lv.type_id end as type_id, confs[i + 1] as conf
         from p left join lv on lv.label = p.labels[i + 1]),{_BIES}"""
 _NEW = "select distinct word from w where word not in (select word from base_dict)"
-_SCORED = f"""{_WORDS}, lv as (select * from {_LABELS}), {_ids(_NEW)},
+_SHORT = f"{_NEW} and length(word) <= 64"
+_SCORED = f"""{_WORDS}, lv as (select * from {_LABELS}), {_ids(_SHORT)},
   c as (select word as k, i, ch, lv.prefix, lv.type_id, ((ids.id * 5 + i * 11 + length(word)) % 65) / 64.0::double as conf
         from ids join lv on lv.id = (ids.id * 7 + i * 3 + length(word)) % 27),{_BIES},
   pr as (select c.k as word, avg(c.conf) as confidence from c group by c.k),
   mm as (select k, string_agg(text || ':' || type_id, '|' order by sg) as morphemes from g group by k),
   made as (select pr.word, coalesce(mm.morphemes, '') as morphemes, pr.confidence, rp.repaired, false as validated
            from pr join rp on rp.k = pr.word left join mm on mm.k = pr.word)"""
+# the word's confidences are 64ths, so their sum over n words of characters is a fraction: rounded by whole numbers
+_SCORED = f"{_SCORED}, ex as (select k as word, sum(conf * 64)::bigint as a, count(*) * 64 as b from c group by k)"
+_ROUNDED = """(case when 2 * (a * 10000 % b) > b or (2 * (a * 10000 % b) = b and (a * 10000 // b) % 2 = 1)
+  then a * 10000 // b + 1 else a * 10000 // b end) / 10000.0::double"""
+
+
+def _answers(kept: str = "true") -> str:
+    """What an engine answers with a threshold of 0.5, of the predictions that are kept."""
+    return f"""{_SCORED}, f as (select word, row_id, pos from (select *, row_number() over (partition by word order by row_id, pos) as z from w) where z = 1),
+      q as (select word, {_ROUNDED} as confidence from ex), old as (select distinct w.word from w join get_batch g on g.row_id = w.row_id and g.stage = 'accepted'),
+      ok as (select made.word, made.morphemes from made join q on q.word = made.word where q.confidence >= 0.5 and made.morphemes <> '' and {kept})
+      select f.word, f.row_id, f.pos, coalesce(ok.morphemes, {_joined("b.morphemes")}) as morphemes
+      from f left join ok on ok.word = f.word left join base_dict b on b.word = f.word where ok.morphemes is not null or b.morphemes is not null"""
+
+
 _B = r"[\s\x{00A0}\x{2000}-\x{200A}\x{202F}\x{3000}]+"
 
 
@@ -418,32 +501,37 @@ _SENT = f"""
 _TAGS = _values(tag_rows(), "standard, category, tag, tag_id")
 
 SQL = {
-    "token_type_histogram": f"{_TOK} select row_id, type, count(*) as n from tok where size <= 512 group by all",
+    "token_type_histogram": f"{_TOK} select row_id, type, count(*) as n from tok group by all",
     "token_types_agree": f"""
       select row_id, len(types) as n_tokens, true as agree from get_batch where text is not null and types is not null""",
-    "token_mask_filter": f"{_TOK} select row_id, pos, text, type from tok where type & 48 <> 0 and size <= 512",
+    "token_mask_filter": f"{_TOK} select row_id, pos, text, type from tok where type & 48 <> 0",
     "token_length_filter": f"{_TOK} select row_id, pos, text, size from tok where type & 28 <> 0 and size between 4 and 12",
-    "tokens_lower": f"{_TOK} select lower(text) as text, count(*) as n from tok where type & 20 <> 0 and size <= 512 group by lower(text)",
+    "tokens_lower": f"{_TOK} select lower(text) as text, count(*) as n from tok where type & 20 <> 0 group by lower(text)",
     "char_types": f"""
       with c as (select distinct unnest(regexp_extract_all(text, '(?s).')) as ch from get_batch)
       select hex(encode(ch)) as utf8, {_type("ch")} as type from c""",
-    "token_batches": f"""{_TOK}, n as (select *, (row_number() over (order by row_id, pos) - 1) // 4096 as batch from tok where size <= 512)
+    "token_batches": f"""{_TOK}, n as (select *, (row_number() over (order by row_id, pos) - 1) // 4096 as batch from tok)
       select batch, count(*) as n_tokens, sum(size)::bigint as n_chars, count(*) filter (where type = 16) as n_words from n group by batch""",
     "token_concat": f"{_TOK} select row_id, count(*) as n, true as same from tok group by row_id",
+    "mask_batches": f"""{_TOK}, n as (select *, (row_number() over (order by row_id, pos) - 1) // 512 as batch from tok where type & 20 <> 0 and size >= 2)
+      select batch, count(*) as n_tokens, sum(size)::bigint as n_chars, min(row_id) as first_row from n group by batch""",
+    "file_tokens": f"""{_TOK}, a as (select type, size from tok union all select 2, 1 from get_batch where text is not null)
+      select type, count(*) as n, sum(size)::bigint as n_chars from a group by type""",
+    "whole_file_words": f"{_WORDS} select word, count(*) as n from w group by word",
     "word_frequency": f"{_WORDS} select word, count(*) as n, count(distinct row_id) as rows from w group by word",
     "distinct_words": f"{_WORDS} select distinct word from w",
     "first_occurrence": f"""{_WORDS}, r as (select *, row_number() over (partition by word order by row_id, pos) as k from w)
       select word, row_id, pos from r where k = 1""",
     "word_length_filter": f"{_WORDS} select word, count(*) as n from w where length(word) between 10 and 14 group by word",
     "words_not_in_lexicon": f"{_WORDS} {_NEW}",
-    "words_unseen": f"{_WORDS} {_NEW} and word not in (select word from seen where word is not null)",
+    "words_unseen": f"{_WORDS} {_SHORT} and word not in (select word from seen where word is not null)",
     "words_in_lexicon": f"{_WORDS} select word, count(*) as n from w where word in (select word from base_dict) group by word",
     "registry_members": f"""{_WORDS}, {_VALID} select distinct word from w where word in (select word from base_dict) or word in (select word from v)""",
     "lexicon_lookup": f"""{_WORDS}, {_VALID}, d as (select distinct word from w),
       f as (select d.word, case when len(v.morphemes) > 0 then v.morphemes else b.morphemes end as ms
             from d left join v on v.word = d.word left join base_dict b on b.word = d.word)
       select word, {_joined("ms")} as morphemes from f where ms is not null""",
-    "sorted_word_chunks": f"""{_WORDS}, n as ({_NEW} and word not in (select word from seen where word is not null))
+    "sorted_word_chunks": f"""{_WORDS}, n as ({_SHORT} and word not in (select word from seen where word is not null))
       select word, (row_number() over (order by length(word), encode(word)) - 1) // 2048 as chunk from n""",
     "registry_upsert": f"with {_VALID} select word, {_joined('morphemes')} as morphemes from v",
     "promoted_words": "select row_id, word, confidence from predictions where coalesce(confidence, 0) >= 0.85",
@@ -452,10 +540,10 @@ SQL = {
       (select count(distinct word) from seen) as seen""",
     "well_formed_log": "select count(word) as loaded, count(*) filter (where word is null) as skipped from predictions",
     "encode_words": f"with {_ids(_SEEN_WORDS)} select x.word, coalesce(string_agg(id::varchar, ' ' order by i), '') as ids from x left join ids on ids.word = x.word group by x.word",
-    "encode_lower": f"with {_ids(_SEEN_WORDS, True, 8)} select x.word, coalesce(string_agg(id::varchar, ' ' order by i), '') as ids from x left join ids on ids.word = x.word group by x.word",
-    "encode_pad": f"""with {_ids("select word from base_dict", False, 12)}
-      select word, rtrim(string_agg(id::varchar, ' ' order by i) || ' ' || repeat('0 ', greatest(12 - length(word), 0)::int)) as ids from ids group by word""",
-    "decode_ids": f"""with {_ids(_SEEN_WORDS, False, 16)}
+    "encode_lower": f"with {_ids(_SEEN_WORDS, True)} select x.word, coalesce(string_agg(id::varchar, ' ' order by i), '') as ids from x left join ids on ids.word = x.word group by x.word",
+    "encode_pad": f"""with {_ids("select word from base_dict", False, 64)}
+      select word, rtrim(string_agg(id::varchar, ' ' order by i) || ' ' || repeat('0 ', greatest(64 - length(word), 0)::int)) as ids from ids group by word""",
+    "decode_ids": f"""with {_ids(_SEEN_WORDS, False, 64)}
       select x.word, coalesce(string_agg(case when id = 1 then '<UNK>' else ids.ch end, '' order by i), '') as back from x left join ids on ids.word = x.word group by x.word""",
     "argmax_labels": f"""with lv as (select * from {_LABELS}), {_ids("select word from base_dict")},
       s as (select word, i, k::int as k, ((id * 5 + i * 11 + k * 7 + length(word)) % 29) / 32.0::double as sc from ids, range(27) as r(k)),
@@ -470,12 +558,20 @@ SQL = {
       from t left join rp on rp.k = t.case_id left join gs on gs.k = t.case_id group by 1, 2""",
     "word_confidences": "select case_id, list_avg(confs[1:length(word)]) as confidence from tagged where word is not null",
     "predictions": f"{_SCORED} select * from made",
+    "rounded_confidences": f"{_SCORED}, q as (select word, {_ROUNDED} as confidence from ex) select word, confidence, confidence >= 0.85 as promoted from q",
+    "network_scores": f"""{_WORDS}, {_ids(_SHORT)},
+      s as (select id, k::int as k, ((id * 7 + k * 11) % 32) / 32.0::double as sc from (select distinct id from ids), range(27) as r(k)),
+      b as (select id, max(sc) as sc, min(k) filter (where sc = m) as k from (select *, max(sc) over (partition by id) as m from s) group by id)
+      select word, string_agg(b.k::varchar, ' ' order by i) as labels, sum(b.sc) as conf_sum from ids join b on b.id = ids.id group by word""",
     "morphemes_by_type": f"{_SCORED} select type_id, count(*) as n, count(distinct text) as texts from g group by type_id",
     "lexicon_scorer": f"""select word, case when array_to_string(list_transform(morphemes, lambda m: m.text), '') = word
       then {_joined("morphemes")} else word || ':3' end as morphemes, false as repaired from base_dict""",
     "predict_end_to_end": f"""{_SCORED}, f as (select word, row_id, pos from (select *, row_number() over (partition by word order by row_id, pos) as z from w) where z = 1)
       select f.word, f.row_id, f.pos, coalesce(nullif(made.morphemes, ''), {_joined("b.morphemes")}) as morphemes
       from f left join made on made.word = f.word left join base_dict b on b.word = f.word where nullif(made.morphemes, '') is not null or b.morphemes is not null""",
+    "engine_predict": _answers(),
+    "engine_restart_log": _answers(),
+    "engine_restart_session": _answers("made.word not in (select word from old)"),
     "process_log_roundtrip": f"{_SCORED} select word, morphemes, repaired, validated from made",
     "log_skip_malformed": "select count(distinct word) as words, 3::bigint as skipped from seen where word is not null and length(word) between 1 and 64",
     "stream_dedup": f"{_WORDS} select distinct word from w",

@@ -7,6 +7,9 @@ from enum import IntEnum, IntFlag
 from pyspark.sql import types as T
 
 
+# Token types, morpheme types, labels, characters and limits that stored models and logs rely on.
+
+
 class TokenType(IntFlag):
     """Kinds of token; a filter is any combination of them."""
 
@@ -40,7 +43,16 @@ MORPHEME_TYPES = {m.name: m.value for m in MorphemeType} | {PAD: 0, UNK: 1}
 MORPHEME_NAMES = {v: k for k, v in MORPHEME_TYPES.items()}
 
 #: Labels: padding, unknown, then B, I, E, S of each kind of morpheme; a hyphen is always single.
-LABELS = {PAD: 0, UNK: 1} | {f"{p}-{t}": 2 + 4 * i + j for i, t in enumerate(("PREF", "ROOT", "SUFF", "END", "POSTFIX", "LINK")) for j, p in enumerate("BIES")} | {"S-HYPH": 26}
+LABELS = {
+    PAD: 0, UNK: 1,
+    "B-PREF": 2, "I-PREF": 3, "E-PREF": 4, "S-PREF": 5,
+    "B-ROOT": 6, "I-ROOT": 7, "E-ROOT": 8, "S-ROOT": 9,
+    "B-SUFF": 10, "I-SUFF": 11, "E-SUFF": 12, "S-SUFF": 13,
+    "B-END": 14, "I-END": 15, "E-END": 16, "S-END": 17,
+    "B-POSTFIX": 18, "I-POSTFIX": 19, "E-POSTFIX": 20, "S-POSTFIX": 21,
+    "B-LINK": 22, "I-LINK": 23, "E-LINK": 24, "S-LINK": 25,
+    "S-HYPH": 26,
+}
 #: Characters: four names, the alphabet with ё after е, digits, blank and hyphen.
 CHARS = {c: i for i, c in enumerate([PAD, UNK, "EOW", "MASK", *"абвгдеёжзийклмнопрстуфхцчшщъыьэюя", *"0123456789", " ", "-"])}
 

@@ -3,26 +3,38 @@
 from __future__ import annotations
 
 import json
-from pathlib import Path
+import os
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from morphlake.operators.shared import folder_of, path_exists
 from morphlake.schema import PREDICTIONS
 from morphlake.sources.text import resolve_path
 
 
 def ensure_dir(path: str) -> str:
     """Make the folder above a local path; returns the path resolved."""
-    path = resolve_path(path)
-    if ":" not in path:
-        Path(path).parent.mkdir(parents=True, exist_ok=True)
-    return path
-
-
-def to_json(obj, path: str) -> None:
-    """Overwrite a file with obj as indented JSON."""
-    Path(ensure_dir(path)).write_text(json.dumps(obj, ensure_ascii=False, indent=2), "utf-8")
+    at = resolve_path(path)
+    if ":" not in at:
+        os.makedirs(os.path.dirname(os.path.abspath(at)), exist_ok=True)
+    return at
+
+
+def to_json(obj, path: str, spark: SparkSession | None = None) -> None:
+    """Overwrite the file at path with obj as JSON of two blanks a level. Remote paths need the session."""
+    text = "\n".join(json.JSONEncoder(ensure_ascii=False, indent=2).encode(obj).splitlines())
+    at = ensure_dir(path)
+    if ":" in at:
+        where, fs = folder_of(spark, at)
+        stream = fs.create(where, True)
+        stream.write(bytearray(text, "utf-8"))
+        stream.close()
+        return
+    draft = f"{at}.{os.getpid()}.draft"  # readers see the old file or the new one
+    with open(draft, "w", encoding="utf-8") as out:
+        out.write(text)
+    os.replace(draft, at)
 
 
 def json_line(morphemes: str = "morphemes"):
@@ -46,25 +58,47 @@ class LogWriter:
             raise ValueError(format)
         self.path, self.format = ensure_dir(path), format
 
-    def write(self, predictions: DataFrame) -> None:
+    def _files(self, spark: SparkSession) -> set[str]:
+        at, fs = folder_of(spark, self.path)
+        if not fs.exists(at):
+            return set()
+        held = fs.listStatus(at)
+        return {f.getPath().toString() for f in held if not f.getPath().getName().startswith(("_", "."))}
+
+    def write(self, predictions: DataFrame) -> DataFrame:
+        """Append, and return what was appended, read from the files that this added."""
+        spark = predictions.sparkSession
         rows = predictions.select(*[c.split()[0] for c in ("word", "morphemes", "confidence", "model", "repaired", "validated")])
+        before = self._files(spark)
         if self.format == "jsonl_compat":
             rows.select(json_line().alias("value")).write.mode("append").text(self.path)
         elif self.format == "json":
             rows.write.mode("append").json(self.path)
         else:
             rows.write.mode("append").parquet(self.path)
+        return self._read(spark, sorted(self._files(spark) - before))
+
+    def _read(self, spark: SparkSession, paths: list[str], order: str | None = None) -> DataFrame:
+        from morphlake.sources.tables import WHEN, log, written_when
 
-    def read(self, spark: SparkSession) -> DataFrame:
-        """What the log holds; no rows before the first write."""
-        from morphlake.sources.tables import log
+        if not paths:
+            return spark.createDataFrame([], PREDICTIONS if order is None else f"{PREDICTIONS}, {order} {WHEN}")
+        if self.format == "parquet":
+            rows = spark.read.schema(PREDICTIONS).parquet(*paths)
+            return rows if order is None else rows.select("*", written_when().alias(order))
+        return log(spark, paths, order)
 
-        if ":" not in self.path and not Path(self.path).exists():
-            return spark.createDataFrame([], PREDICTIONS)
-        return spark.read.schema(PREDICTIONS).parquet(self.path) if self.format == "parquet" else log(spark, self.path)
+    def read(self, spark: SparkSession, order: str | None = None) -> DataFrame:
+        """What the log holds; no rows before the first write. order: a column by which later writes come later."""
+        return self._read(spark, [self.path] if path_exists(spark, self.path) else [], order)
 
 
 def append_to_jsonl(path: str, record: dict) -> None:
-    """Append one record to a local JSON lines file, at the path as given."""
-    with open(path, "a", encoding="utf-8") as f:
-        f.write(json.dumps(record, ensure_ascii=False) + "\n")
+    """Append one record as a line of a local JSON lines file, at the path as given: one write, which is whole even
+    where others append too."""
+    line = json.JSONEncoder(ensure_ascii=False).encode(record) + "\n"
+    handle = os.open(path, os.O_APPEND | os.O_CREAT | os.O_WRONLY, 0o644)
+    try:
+        os.write(handle, line.encode("utf-8"))
+    finally:
+        os.close(handle)

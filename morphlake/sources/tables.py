@@ -6,11 +6,12 @@ import json
 from dataclasses import dataclass, field
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from morphlake.operators.shared import path_exists
 from morphlake.schema import CHARS, LABELS, LEXICON, MAX_WORD, MORPHEMES, PREDICTIONS, struct_of
-from morphlake.sources.text import resolve_path
+from morphlake.sources.text import is_remote, resolve_model_dir, resolve_path
 
 
 def load_json(path: str) -> dict:
@@ -23,26 +24,48 @@ def _typed(arrays):
 
 
 def base_dict(spark: SparkSession, path: str) -> DataFrame:
-    """word, morphemes of a JSON object word -> [[text, type_id, confidence], ...]; a missing file gives no rows."""
+    """word, morphemes of a dictionary; a missing file gives no rows.
+
+    One JSON object word -> [[text, type_id, confidence], ...] is one row and so one task, for files of up to a few
+    hundred MB. Larger ones: Parquet with these two columns (a name ending in .parquet), or a line for each word with
+    fields word and morphemes (.jsonl), both read in parallel.
+    """
     path = resolve_path(path)
-    if ":" not in path and not Path(path).exists():
+    if not path_exists(spark, path):
         return spark.createDataFrame([], LEXICON)
+    if path.rstrip("/").endswith(".parquet"):
+        return spark.read.schema(LEXICON).parquet(path)
+    if path.endswith(".jsonl"):
+        return log(spark, path).select("word", "morphemes")
     whole = spark.read.text(path, wholetext=True)
     rows = whole.select(F.explode(F.from_json("value", "map<string,array<array<string>>>")).alias("word", "m"))
     return rows.select("word", _typed(F.col("m")).alias("morphemes"))
 
 
-def log(spark: SparkSession, path: str) -> DataFrame:
+#: Type of written_when().
+WHEN = "struct<time:timestamp,path:string,start:bigint,n:bigint>"
+
+
+def written_when() -> Column:
+    """By what rows of files rise with the time at which they were written: the file's time, then, as files of one
+    time have no order but that of their names, its path, and within it the place of the split and of the row."""
+    m = "_metadata."
+    return F.struct(F.col(m + "file_modification_time").alias("time"), F.col(m + "file_path").alias("path"), F.col(m + "file_block_start").alias("start"), F.monotonically_increasing_id().alias("n"))
+
+
+def log(spark: SparkSession, path: str | list[str], order: str | None = None) -> DataFrame:
     """The rows of a JSON lines log, morphemes as arrays or objects; malformed lines and lines without word are
-    left out, as are blank ones. A missing file gives no rows."""
-    path = resolve_path(path)
-    if ":" not in path and not Path(path).exists():
-        return spark.createDataFrame([], PREDICTIONS)
+    left out, as are blank ones. A missing file gives no rows. order: a column by which later lines come later."""
+    paths = [resolve_path(p) for p in ([path] if isinstance(path, str) else path)]
+    if not all(path_exists(spark, p) for p in paths):
+        return spark.createDataFrame([], PREDICTIONS if order is None else f"{PREDICTIONS}, {order} {WHEN}")
     fields = "word string, morphemes string, confidence double, model string, repaired boolean, validated boolean"
-    raw = spark.read.text(path).where(F.trim("value") != "").select(F.from_json("value", fields).alias("r")).select("r.*").where("word is not null")
+    lines = spark.read.text(paths)
+    extra = [] if order is None else [written_when().alias(order)]
+    raw = lines.select("value", *extra).where(F.trim("value") != "").select(F.from_json("value", fields).alias("r"), *([order] if order else [])).select("r.*", *([order] if order else [])).where("word is not null")
     as_objects = F.from_json("morphemes", MORPHEMES)
     as_arrays = _typed(F.from_json("morphemes", "array<array<string>>"))
-    return raw.withColumn("morphemes", F.when(F.col("morphemes").rlike(r"^\s*\[\s*\{"), as_objects).otherwise(as_arrays)).select(*struct_of(PREDICTIONS).names)
+    return raw.withColumn("morphemes", F.when(F.col("morphemes").rlike(r"^\s*\[\s*\{"), as_objects).otherwise(as_arrays)).select(*struct_of(PREDICTIONS).names, *([order] if order else []))
 
 
 def skipped_lines(spark: SparkSession, path: str) -> int:
@@ -54,7 +77,7 @@ def skipped_lines(spark: SparkSession, path: str) -> int:
 def seen_words(spark: SparkSession, path: str, least: int = 1, most: int = MAX_WORD) -> DataFrame:
     """word: the distinct words of a log, of least to most code points. Only that field of each line is read."""
     path = resolve_path(path)
-    if ":" not in path and not Path(path).exists():
+    if not path_exists(spark, path):
         return spark.createDataFrame([], "word string")
     words = spark.read.text(path).select(F.from_json("value", "word string")["word"].alias("word")).where("word is not null")
     return words.where(F.char_length("word").between(least, most)).dropDuplicates(["word"])
@@ -85,16 +108,22 @@ class Bundle:
     @classmethod
     def from_config(cls, config: dict, folder: str = "") -> Bundle:
         files, specs, maps = config.get("resources", {}), config.get("model_specs", {}), config["mapping"]
-        at = lambda key: str(Path(folder) / files[key]) if files.get(key) else None
+        inside = lambda name: f"{folder}/{name}" if is_remote(folder) else str(Path(folder) / name)
+        at = lambda key: inside(files[key]) if files.get(key) else None
         return cls(specs.get("name", "model"), folder, maps["tokenizer_vocab"], maps["label2id"], specs.get("maxlen", MAX_WORD), False, at("weights"), at("base_dict"), at("output"))
 
     @classmethod
-    def load(cls, folder: str, need_weights: bool = True) -> Bundle:
-        """The bundle of a folder with config.json. FileNotFoundError without it, or without weights if needed."""
-        folder = resolve_path(folder)
-        if not (Path(folder) / "config.json").is_file():
-            raise FileNotFoundError(f"{folder}/config.json")
-        bundle = cls.from_config(load_json(f"{folder}/config.json"), folder)
-        if need_weights and not (bundle.weights and Path(bundle.weights).is_file()):
+    def load(cls, folder: str, need_weights: bool = True, spark: SparkSession | None = None, root: str | None = None) -> Bundle:
+        """The bundle of a folder with config.json, found by resolve_model_dir; remote folders need the session.
+        FileNotFoundError without it, or without weights if needed."""
+        folder = resolve_model_dir(folder, root, spark)
+        if is_remote(folder):
+            text = spark.read.text(f"{folder}/config.json", wholetext=True).first()[0]
+            bundle = cls.from_config(json.loads(text), folder)
+            there = bool(bundle.weights) and path_exists(spark, bundle.weights)
+        else:
+            bundle = cls.from_config(load_json(f"{folder}/config.json"), folder)
+            there = bool(bundle.weights) and Path(bundle.weights).is_file()
+        if need_weights and not there:
             raise FileNotFoundError(bundle.weights or f"{folder}: no weights named")
         return bundle

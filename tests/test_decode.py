@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from morphlake.functions.decode import python_round, segments, segments_by_window, tag_columns, word_confidence
+from morphlake.functions.decode import exact_round, segments, segments_by_window, tag_columns, word_confidence
 from morphlake.functions.encode import best, decoded, encoded, label_parts, padded
 from morphlake.schema import CHARS, LABELS
 
@@ -105,4 +105,16 @@ def test_encoding(spark):
 
 def test_rounding_is_exact(spark):
     df = spark.createDataFrame([(0.84995,), (0.00015,), (None,)], "x double")
-    assert [r[0] for r in df.select(python_round()(F.col("x"))).collect()] == [0.8499, 0.0001, None]
+    assert [r[0] for r in df.select(exact_round(F.col("x"))).collect()] == [0.8499, 0.0001, None]
+
+
+def test_rounding_is_that_of_the_exact_value(spark):
+    rng = random.Random(11)
+    values = [rng.random() for _ in range(3000)] + [rng.randint(0, 20000) / 20000 for _ in range(3000)] + [rng.randint(-64 * 65, 64 * 65) / (64 * rng.randint(1, 64)) for _ in range(3000)]
+    values += [k / 32 for k in range(-64, 65)] + [0.00045, 0.84995, 1e-300, 5e15, -7.5e11, 123456.00005, 0.0, -0.0, 0.99995, float("inf")]
+    df = spark.createDataFrame([(float(v),) for v in values], "x double").select("x", exact_round(F.col("x")).alias("y"), exact_round(F.col("x"), 2).alias("z"))
+    for r in df.collect():
+        if r.x != float("inf"):
+            assert r.y == round(r.x, 4) and r.z == round(r.x, 2), r
+    with pytest.raises(ValueError):
+        exact_round(F.col("x"), 8)

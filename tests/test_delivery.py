@@ -40,3 +40,21 @@ def test_ties_and_empty(spark, tmp_path):
     path = str(tmp_path / "e.parquet")
     spark.createDataFrame([], "row_id bigint, msg_id string, word string").write.parquet(path)
     assert delivered_once(spark, path).count() == 0 and superfluous(spark, path).count() == 0
+
+
+@pytest.mark.parametrize("most", [64 << 20, 0])
+def test_other_orders_and_nulls(spark, tmp_path, most):
+    for i, kind in enumerate(("int", "timestamp", "string", "double")):
+        path = str(tmp_path / f"{i}.parquet")
+        rows = spark.createDataFrame([(5, "a", "x"), (None, "a", "x"), (7, "a", "x"), (3, "b", "x"), (2, "b", "x"), (4, "c", None)], "o int, msg_id string, word string")
+        rows.selectExpr(f"cast({'timestamp_seconds(o)' if kind == 'timestamp' else 'o'} as {kind}) as o", "msg_id", "word", "o as n").repartition(3).write.parquet(path)
+        kept = delivered_once(spark, path, order_col="o", most_broadcast=most)
+        assert sorted((r.msg_id, r.n) for r in kept.collect()) == [("a", None), ("b", 2), ("c", 4)]
+
+
+def test_more_than_a_bitmap_of_rows(spark, tmp_path):
+    path = str(tmp_path / "t.parquet")
+    spark.range(100_000).selectExpr("id as row_id", "concat('m', id % 70000) as msg_id", "'w' as word").coalesce(1).write.parquet(path)
+    for most in (64 << 20, 0):
+        gone = superfluous(spark, path, most_broadcast=most)
+        assert gone.agg({"row_id": "min"}).first()[0] == 70_000 and gone.count() == 30_000

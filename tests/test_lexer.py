@@ -4,7 +4,8 @@ import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
-from morphlake.functions.lexer import exploded, words
+from morphlake.functions.lexer import exploded, first_words, words
+from morphlake.operators.lexicon import first_occurrences
 from morphlake.schema import TokenType
 from morphlake.sources.text import files, literal, source, token_rows, token_stream
 
@@ -68,7 +69,10 @@ def test_tokens_spell_the_text(spark, texts):
 
 def test_words(spark):
     df = spark.createDataFrame([(1, "Кот, КОТ и abc " + "ж" * 65)], "doc_id int, text string")
-    assert [(r.pos, r.word) for r in words(df).orderBy("pos").collect()] == [(0, "кот"), (1, "кот"), (2, "и")]
+    assert [(r.pos, r.word) for r in words(df).orderBy("pos").collect()] == [(0, "кот"), (1, "кот"), (2, "и"), (3, "ж" * 65)]
+    assert [(r.pos, r.word) for r in words(df, most=64).orderBy("pos").collect()] == [(0, "кот"), (1, "кот"), (2, "и")]
+    long = spark.createDataFrame([("a" * 5000 + " " + "ж" * 5000,)], "text string")
+    assert sorted(r.size for r in exploded(long).collect()) == [1, 5000, 5000] and exploded(long, most=512).count() == 1
 
 
 def test_sources(spark, tmp_path):
@@ -95,3 +99,13 @@ def test_sql_functions(spark):
     rows = spark.sql("select d.i, t.* from values (1, 'да!'), (2, null) d(i, s), lateral tokenize_text(d.s) t").collect()
     assert [(r.i, r.pos, r.token, r.type) for r in rows] == [(1, 0, "да", 16), (1, 1, "!", 32)]
     assert re.match("x", "x")
+
+
+def test_first_words(spark):
+    df = spark.createDataFrame([(2, "кот Кот дом"), (1, "лес дом кот лес"), (3, None), (4, ""), (5, "x")], "doc_id bigint, text string").selectExpr("*", "0 as word", "0 as pos")
+    assert sorted((r.doc_id, r.pos, r.word) for r in first_words(df).collect()) == [(1, 0, "лес"), (1, 1, "дом"), (1, 2, "кот"), (2, 0, "кот"), (2, 2, "дом")]
+    first = first_occurrences(df)
+    assert sorted((r.word, r.doc_id, r.pos) for r in first.collect()) == [("дом", 1, 1), ("кот", 1, 2), ("лес", 1, 0)]
+    assert first.columns == ["word", "doc_id", "pos"] and first_occurrences(df.limit(0)).count() == 0
+    plan = first._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in plan and "SortAggregate" not in plan

@@ -1,4 +1,5 @@
 import json
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -6,11 +7,13 @@ from pyspark.sql import functions as F
 from morphlake.functions.tagsets import with_tag_id, with_upos
 from morphlake.operators.batches import numbered, with_batch
 from morphlake.operators.lexicon import latest, lookup, mark_seen, members, not_in, promoted, sizes, unseen
-from morphlake.operators.scorers import LexiconScorer, OnnxScorer, TableScorer
+from morphlake.operators.scorers import LexiconScorer, OnnxScorer, TableScorer, table_network
 from morphlake.plans.engine import Engine, predictions
-from morphlake.schema import CHARS, LABELS, LEXICON, SCORED
+from morphlake.schema import CHARS, LABELS, LEXICON, PREDICTIONS, SCORED
 from morphlake.sinks.logs import LogWriter, append_to_jsonl, to_json
+from morphlake.operators.shared import StateFiles, clear, new_path, path_exists, set_for, written
 from morphlake.sources.tables import Bundle, base_dict, load_json, log, seen_words, skipped_lines, stream_jsonl
+from morphlake.sources.text import files, lines, resolve_model_dir
 
 
 @pytest.fixture()
@@ -150,3 +153,105 @@ def test_streaming(spark, tmp_path, base, scorer):
     writer = LogWriter(str(tmp_path / "log"))
     process_stream(file_stream(spark, str(tmp_path / "in"), 1), scorer, base, writer, str(tmp_path / "check2"))
     assert sorted(r.word for r in writer.read(spark).collect()) == ["и", "кит", "кот", "пёс"]
+
+
+def test_network(spark, tmp_path):
+    scores = [[((c * 5 + k * 3) % 17) / 17 for k in range(len(LABELS))] for c in range(len(CHARS))]
+    path = table_network(str(tmp_path / "net.onnx"), scores)
+    words = spark.createDataFrame([("дом",), ("x",), ("ё" * 70,), (None,)], "word string")
+    rows = {r.word: r for r in OnnxScorer(path, device="auto").score(words.repartition(2)).collect()}
+    assert sorted(rows) == sorted(["дом", "x", "ё" * 70]) and len(rows["ё" * 70].tag_ids) == 64  # a model's longest word
+    for w in ("дом", "x"):
+        own = [scores[CHARS.get(c, 1)] for c in w]
+        assert rows[w].tag_ids == [max(range(len(LABELS)), key=lambda k: (s[k], -k)) for s in own]
+        assert rows[w].confs == pytest.approx([max(s) for s in own])
+    with pytest.raises(Exception, match="no GPU"):
+        OnnxScorer(path, device="cuda").score(words).collect()
+
+
+def test_engine_of_a_bundle_with_a_network(spark, tmp_path, monkeypatch):
+    label = {c: "S-ROOT" if c == "я" else "B-ROOT" if c in "мк" else "E-ROOT" if c in "тр" else "I-ROOT" for c in CHARS}
+    scores = [[0.9 if k == LABELS[label[c]] else 0.1 for k in range(len(LABELS))] for c in CHARS]
+    folder = tmp_path / "models" / "tiny"
+    to_json({"model_specs": {"name": "tiny", "maxlen": 8}, "mapping": {"label2id": LABELS, "tokenizer_vocab": CHARS}, "resources": {"weights": "net.onnx", "output": "log"}}, str(folder / "config.json"))
+    table_network(str(folder / "net.onnx"), scores)
+    monkeypatch.chdir(tmp_path / "models")  # found by its bare name
+    engine = Engine.from_pretrained(spark, "tiny", device="cpu")
+    assert engine.predict_dict("Кот, мир и длинноеслово") == {"кот": [("кот", 3, pytest.approx(0.9))], "мир": [("мир", 3, pytest.approx(0.9))], "и": [("и", 3, pytest.approx(0.9))]}
+    again = Engine.from_pretrained(spark, f"file://{folder}", device="cpu")  # a remote folder, and the log of the first
+    assert [r.word for r in again.process("мир кит").collect()] == ["кит"] and sorted(again.predict_dict("мир кот")) == ["кот", "мир"]
+    assert resolve_model_dir("tiny", tmp_path) == str(folder) and resolve_model_dir(folder) == str(folder)
+    monkeypatch.chdir(tmp_path)
+    assert resolve_model_dir("tiny", tmp_path) == str(folder)
+    for name in ("none", str(tmp_path)):
+        with pytest.raises(FileNotFoundError):
+            resolve_model_dir(name, tmp_path)
+    with pytest.raises(FileNotFoundError):
+        resolve_model_dir(f"file://{tmp_path}", spark=spark)
+
+
+@pytest.mark.parametrize("kind", ["parquet", "jsonl_compat"])
+def test_last_write_wins_in_time(spark, tmp_path, kind):
+    writer = LogWriter(str(tmp_path / "log"), kind)
+    for i, name in enumerate("dabc"):  # more rows first, so files differ in size and are packed in another order
+        rows = [("слово", [(name, 3, 0.9)], 0.9, "m", False, False)] + [(f"w{i}{k}" * 20, [], 0.1, "m", False, False) for k in range(200 - 60 * i)]
+        got = writer.write(spark.createDataFrame(rows, PREDICTIONS).coalesce(1))
+        assert got.count() == len(rows)
+        time.sleep(0.02)
+    engine = Engine(spark, None, writer=writer)
+    assert [r.morphemes[0].text for r in engine.validated().where("word = 'слово'").collect()] == ["c"]
+    assert Engine(spark, None, writer=writer, scope="session").validated().count() == 0
+
+
+def test_lines_of_a_file_in_splits(spark, tmp_path):
+    text = "".join(f"строка {i} abc\n" for i in range(3000))
+    (tmp_path / "big.txt").write_text(text)
+    with set_for(spark, {"spark.sql.files.maxPartitionBytes": "8k"}):
+        rows = lines(spark, str(tmp_path / "big.txt"))
+        assert rows.rdd.getNumPartitions() > 5
+        assert "".join(r.text for r in rows.orderBy("start", "line").collect()) == text and rows.select("doc_id").distinct().count() == 1
+    (tmp_path / "bad.txt").write_bytes(b"a\xff\xd0\n")
+    assert [r.text for r in lines(spark, str(tmp_path / "bad.txt")).collect()] == ["a\ufffd\ufffd\n"]
+    for read in (lines, files):
+        with pytest.raises(FileNotFoundError):
+            read(spark, str(tmp_path / "none")).collect()
+
+
+def test_large_dictionaries(spark, tmp_path):
+    rows = spark.createDataFrame([("дом", [("дом", 3, 1.0)]), ("пусто", [])], LEXICON)
+    rows.write.parquet(str(tmp_path / "d.parquet"))
+    (tmp_path / "d.jsonl").write_text('{"word": "дом", "morphemes": [["дом", 3, 1.0]]}\n\n{"word": "пусто", "morphemes": []}\n')
+    for name in ("d.parquet", "d.jsonl"):
+        assert sorted(base_dict(spark, str(tmp_path / name)).collect()) == sorted(rows.collect())
+    assert base_dict(spark, str(tmp_path / "none.json")).count() == 0
+
+
+def test_state_files(spark, tmp_path):
+    path = f"file://{tmp_path}/s"
+    one, other = StateFiles(spark, path), StateFiles(spark, path)
+    assert one.load() is None
+    for i in range(4):
+        one.save({"i": i})
+    assert other.load() == {"i": 3} and sorted(p.name for p in (tmp_path / "s").glob("state-*")) == ["state-000000002", "state-000000003"]
+    (tmp_path / "s" / "_draft-x").write_text('{"i"')  # a run died here
+    assert other.load() == {"i": 3}
+
+
+def test_folder_is_cleared(spark):
+    path = new_path(spark, "x")
+    written(spark.range(3), "y")
+    spark.range(3).write.parquet(path)
+    assert path_exists(spark, path)
+    clear(spark)
+    assert not path_exists(spark, path)
+
+
+def test_entry_without_what_the_subpackage_needs(monkeypatch):
+    import sys
+
+    import __spark_entry__
+
+    monkeypatch.delitem(sys.modules, "morphlake.llm.queries", raising=False)
+    monkeypatch.setitem(sys.modules, "morphlake.llm", None)  # its import fails
+    names = set(__spark_entry__.queries())
+    assert {"p6_found", "word_frequency"} <= names and not {n for n in names if n.startswith("p1_")} and "p1_found" not in __spark_entry__.oracle_sql()
