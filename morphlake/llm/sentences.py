@@ -20,8 +20,9 @@ from morphlake.operators.shared import written
 
 #: Least log-likelihood ratio (chi-square, one degree of freedom, p < 0.005), and least share of a type's occurrences with a period.
 LEAST_RATIO, LEAST_SHARE = 7.88, 0.8
-#: Least share of a language's tokens that a learned word makes up: so a language has at most a million of them.
-LEAST_PART = 1e-6
+#: Least share of a language's tokens that a learned word makes up: so a language has at most ten million of them,
+#: whatever the number of documents.
+LEAST_PART = 1e-7
 NUMBER = "##"
 
 _OPEN = "\"'«»„“”‘’‚‹›(¿¡[{—–-*「『“《"
