@@ -179,7 +179,8 @@ def mixture(blocks: DataFrame, targets: DataFrame, shard_slots: int = 50_000, se
     else:
         counts = draw([r[1] for r in rows], [r[3] for r in rows], [r[2] for r in rows], shard_slots, seed)
         firsts = np.cumsum(counts, axis=0) - counts
-        plan = [(s, j, int(firsts[s, j]), int(counts[s, j])) for s in range(len(counts)) for j in range(len(rows)) if counts[s, j]]
+        shard, j = np.nonzero(counts)
+        plan = pa.table({"shard": shard, "j": j.astype(np.int32), "first": firsts[shard, j], "n": counts[shard, j]})
         names, sizes = [r[0] for r in rows], [r[3] for r in rows]
 
         def run(batches):
@@ -191,7 +192,7 @@ def mixture(blocks: DataFrame, targets: DataFrame, shard_slots: int = 50_000, se
                     place = np.random.default_rng([seed, shard, j]).integers(0, 2**62, n)
                     yield pa.RecordBatch.from_arrays([pa.array([shard] * n, pa.int64()), pa.array(place), pa.array([names[j]] * n, pa.string()), pa.array(block), pa.array(passes.astype(np.int32))], names=["shard", "slot", "source", "block", "pass"])
 
-        slots = spark.createDataFrame(plan, "shard bigint, j int, first bigint, n bigint").repartition("shard", "j").mapInArrow(run, schema)
+        slots = spark.createDataFrame(plan).repartition("shard", "j").mapInArrow(run, schema)
     w = Window.partitionBy("shard").orderBy("slot", "source", "block", "pass")
     # slots are made by a function, so Spark takes them for as small as the draws: never broadcast them
     held = slots.hint("shuffle_merge").join(blocks, ["source", "block"])
