@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from morphlake.functions.keys import word_key
 from morphlake.llm.encoding import fit_model, restored
-from morphlake.llm.history import repeated_texts, repeated_words
+from morphlake.llm.history import SORTED_BUCKETS, repeated_texts, repeated_words
 from morphlake.llm.leakage import leaks
 from morphlake.llm.lookalike import look_alike_classes, look_alikes, with_skeleton
 from morphlake.llm.mixing import mixture, packed, shares, sized
 from morphlake.llm.seenkeys import SeenKeys, first_or_repeat, wrong_answers
 from morphlake.llm.sentences import eligible, learn, sentence_units
 from morphlake.llm.termcounts import TermCounts
-from morphlake.operators.shared import spread, written
+from morphlake.operators.shared import set_for, spread, written
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -31,8 +34,17 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     least, most = rows.where(~new).agg(F.min("batch_id"), F.max("batch_id")).first()
     step = max(1, -(-((most or 0) - (least or 0) + 1) // ARRIVALS))
     arrival = F.coalesce(F.least(F.floor((F.col("batch_id") - (least or 0)) / step), F.lit(ARRIVALS - 1)), F.lit(0))
-    texts = repeated_texts([rows.where(~new & (arrival == k)) for k in range(ARRIVALS)], rows.where(new), fit_model(table(spark, d, "base_dict")))
-    words = repeated_words(table(spark, d, "predictions"), table(spark, d, "seen"))
+    model = fit_model(table(spark, d, "base_dict"))
+
+    def of_texts() -> DataFrame:
+        return repeated_texts([rows.where(~new & (arrival == k)) for k in range(ARRIVALS)], rows.where(new), model)
+
+    def of_words() -> DataFrame:
+        return repeated_words(table(spark, d, "predictions"), table(spark, d, "seen"))
+
+    # two indexes that have nothing to do with each other: the jobs of one fill the gaps between those of the other
+    with set_for(spark, {SORTED_BUCKETS: "true"}), ThreadPoolExecutor(2) as pool:
+        texts, words = (f.result() for f in [pool.submit(inheritable_thread_target(spark)(f)) for f in (of_texts, of_words)])
     return texts.select(F.lit("get_batch").alias("tab"), "row_id").unionByName(words.select(F.lit("predictions").alias("tab"), "row_id"))
 
 
