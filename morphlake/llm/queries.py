@@ -48,6 +48,11 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return texts.select(F.lit("get_batch").alias("tab"), "row_id").unionByName(words.select(F.lit("predictions").alias("tab"), "row_id"))
 
 
+def p1_words(spark: SparkSession, d: str) -> DataFrame:
+    """The half of p1_found on single words, which SQL can say."""
+    return repeated_words(table(spark, d, "predictions"), table(spark, d, "seen"))
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return restored(spread(table(spark, d, "get_batch").select("row_id", "text")), fit_model(table(spark, d, "base_dict"))).select("row_id")
 
@@ -136,6 +141,7 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     "p1_found": p1_found,
+    "p1_words": p1_words,
     "p2_found": p2_found,
     "p2_restored": p2_restored,
     "p3_found": p3_found,
@@ -165,7 +171,15 @@ _TERMS = """
     m as (select *, case when records <= 2 then 'rare'
       when records > 0.1 * (select count(text) from get_batch) then 'common' end as mark from c)"""
 
+_PLAIN = r"nullif(translate(regexp_replace({0}, '[\x{{0301}}\x{{00AD}}\x{{2010}}\x{{2011}}-]', '', 'g'), 'ё', 'е'), '')"
+
 SQL = {
+    "p1_words": f"""
+      with k as (
+        select row_id, stage, {_PLAIN.format(_KEY.format("word"))} as key from predictions
+        union all select -1, 'seen', {_PLAIN.format(_KEY.format("word"))} from seen),
+      f as (select *, min(row_id) over (partition by key) as least from k where key is not null)
+      select row_id from f where stage = 'new' and row_id > least""",
     "p4_found": f"{_TERMS} select term, mark from m where mark is not null",
     "p4_counts": f"{_TERMS} select term, occurrences, records, mark from m",
     "p5_found": f"{_SEEN} select row_id from f where stage = 'new' and (row_id > least)",
