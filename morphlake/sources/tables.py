@@ -14,8 +14,10 @@ from morphlake.schema import CHARS, LABELS, LEXICON, MAX_WORD, MORPHEMES, PREDIC
 from morphlake.sources.text import is_remote, resolve_model_dir, resolve_path
 
 
-def load_json(path: str) -> dict:
-    return json.loads(Path(resolve_path(path)).read_text("utf-8"))
+def load_json(path: str, spark: SparkSession | None = None) -> dict:
+    """The JSON document of a file; remote paths need the session."""
+    path = resolve_path(path)
+    return json.loads(spark.read.text(path, wholetext=True).first()[0] if is_remote(path) else Path(path).read_text("utf-8"))
 
 
 def _typed(arrays):
@@ -117,13 +119,8 @@ class Bundle:
         """The bundle of a folder with config.json, found by resolve_model_dir; remote folders need the session.
         FileNotFoundError without it, or without weights if needed."""
         folder = resolve_model_dir(folder, root, spark)
-        if is_remote(folder):
-            text = spark.read.text(f"{folder}/config.json", wholetext=True).first()[0]
-            bundle = cls.from_config(json.loads(text), folder)
-            there = bool(bundle.weights) and path_exists(spark, bundle.weights)
-        else:
-            bundle = cls.from_config(load_json(f"{folder}/config.json"), folder)
-            there = bool(bundle.weights) and Path(bundle.weights).is_file()
+        bundle = cls.from_config(load_json(f"{folder}/config.json", spark), folder)
+        there = bool(bundle.weights) and (path_exists(spark, bundle.weights) if is_remote(folder) else Path(bundle.weights).is_file())
         if need_weights and not there:
             raise FileNotFoundError(bundle.weights or f"{folder}: no weights named")
         return bundle

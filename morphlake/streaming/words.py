@@ -14,9 +14,10 @@ from morphlake.schema import MAX_WORD
 from morphlake.sinks.logs import LogWriter
 
 
-def file_stream(spark: SparkSession, folder: str, most_files: int | None = None) -> DataFrame:
-    """text of each file that comes into a folder; most_files bounds a micro-batch."""
-    reader = spark.readStream.format("text").option("wholetext", True)
+def file_stream(spark: SparkSession, folder: str, most_files: int | None = None, whole: bool = False) -> DataFrame:
+    """text of the files that come into a folder, line by line, as no word goes over a line, or with whole a row for
+    each file; most_files bounds a micro-batch."""
+    reader = spark.readStream.format("text").option("wholetext", whole)
     if most_files:
         reader = reader.option("maxFilesPerTrigger", most_files)
     return reader.load(folder).select(F.col("value").alias("text"))
