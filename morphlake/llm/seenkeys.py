@@ -8,18 +8,12 @@ it goes to the stream: one key that a third of all records carry is one row ther
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from morphlake.operators.shared import new_path, set_for
-
-STATE = {
-    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
-    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
-    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
-    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "300",
-    "spark.sql.streaming.minBatchesToRetain": "2",
-}
+from morphlake.operators.shared import STATE_STORE, new_path, set_for, written
 
 
 class SeenKeys:
@@ -60,9 +54,19 @@ class SeenKeys:
         spark, target = self.spark, f"{self.path}/firsts"
         stream = spark.readStream.schema("key string, ord bigint, run int").parquet(f"{self.path}/inbox")
         keep = lambda rows, number: rows.select("ord", "run").write.mode("overwrite").parquet(f"{target}/batch={number}")
-        with set_for(spark, STATE):
+        with set_for(spark, STATE_STORE):
             stream.dropDuplicates(["key"]).writeStream.outputMode("append").foreachBatch(keep).option("checkpointLocation", f"{self.path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
 
+    def follow(self, stream: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str, id_col: str = "row_id") -> None:
+        """Answer for the records of a stream (id_col unique, key) up to what is there now: write gets those of each
+        micro-batch with `repeat`, and its number. A micro-batch that is run again gets the same answers."""
+
+        def one(rows: DataFrame, number: int) -> None:
+            rows = written(rows, "seen-keys-batch")
+            write(first_or_repeat(rows, self.run(rows.select("key", F.col(id_col).alias("ord")), number), id_col), number)
+
+        stream.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
     def firsts(self) -> DataFrame:
         """ord, run of every record that was the first of its key."""
         try:

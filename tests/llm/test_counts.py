@@ -98,6 +98,20 @@ def test_hot_key_and_batches(spark, tmp_path):
     assert SeenKeys(spark, f"file://{tmp_path}/none").firsts().count() == 0
 
 
+def test_a_stream_is_answered(spark, tmp_path):
+    rows = [(i, f"k{i % 7}" if i % 5 else None) for i in range(60)]
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    state, seen, want = SeenKeys(spark, f"file://{tmp_path}/state"), set(), {}
+    for part in (rows[:10], rows[10:30], rows[30:]):
+        spark.createDataFrame(part, "row_id bigint, key string").coalesce(1).write.mode("append").parquet(source)
+        for i, k in part:
+            want[i] = None if k is None else k in seen
+            seen.add(k)
+        stream = spark.readStream.schema("row_id bigint, key string").option("maxFilesPerTrigger", 1).parquet(source)
+        state.follow(stream, lambda df, n: df.write.mode("overwrite").parquet(f"{out}/batch={n}"), str(tmp_path / "checkpoint"))
+    assert {r.row_id: r.repeat for r in spark.read.parquet(out).collect()} == want
+
+
 def test_no_clock_decides(spark, tmp_path, monkeypatch):
     import time
 
