@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from morphlake.functions.keys import word_key
-from morphlake.llm.encoding import fit_model, restored
+from morphlake.llm.encoding import fit_model, garbled, restored
 from morphlake.llm.history import SORTED_BUCKETS, repeated_texts, repeated_words
 from morphlake.llm.leakage import leaks
 from morphlake.llm.lookalike import look_alike_classes, look_alikes, with_skeleton
@@ -54,7 +54,7 @@ def p1_words(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    return restored(spread(table(spark, d, "get_batch").select("row_id", "text")), fit_model(table(spark, d, "base_dict"))).select("row_id")
+    return garbled(spread(table(spark, d, "get_batch").select("row_id", "text")), fit_model(table(spark, d, "base_dict")))
 
 
 def p2_restored(spark: SparkSession, d: str) -> DataFrame:
