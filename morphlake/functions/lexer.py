@@ -13,6 +13,11 @@ ANY = "(?s)([А-Яа-яЁё]+|[A-Za-z]+|[0-9]+|.)"
 PUNCTUATION = "[!-/:-@\\[-`{-~·«»№‐-‟․-‧]"
 
 
+def valid_text(content: Column) -> Column:
+    """Bytes as text; each malformed sequence of UTF-8 becomes U+FFFD."""
+    return F.make_valid_utf8(content.cast("string"))
+
+
 def tokens(text: Column | str, mask: int = ALL_TOKENS) -> Column:
     """The tokens of a text as strings, in order; null for null. Joined, all tokens give the text back.
 

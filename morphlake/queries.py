@@ -14,21 +14,21 @@ import tempfile
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from morphlake.functions.decode import segments, tag_columns, word_confidence
+from morphlake.functions.decode import segments, segments_by_window, tag_columns, word_confidence
 from morphlake.functions.encode import best, chars, decoded, encoded, padded
-from morphlake.functions.lexer import exploded, token_type, tokens, words
+from morphlake.functions.lexer import exploded, token_type, tokens, valid_text, words
 from morphlake.functions.tagsets import crosswalk_rows, tag_rows, with_tag_id, with_upos
 from morphlake.operators.batches import with_batch
 from morphlake.operators.delivery import delivered_once, superfluous
 from morphlake.operators.lexicon import first_occurrences, latest, lookup, mark_seen, members, not_in, promoted, sizes, unseen
 from morphlake.operators.scorers import ArithmeticScorer, LexiconScorer, OnnxScorer, table_network
-from morphlake.operators.shared import new_path, spread, written
+from morphlake.operators.shared import folder_of, new_path, spread, written
 from morphlake.plans.engine import Engine, predictions
 from morphlake.schema import CHARS, LABELS, MAX_WORD, MORPHEME_NAMES, MORPHEME_TYPES, PROMOTED
-from morphlake.sinks.logs import LogWriter
-from morphlake.sources.tables import seen_words, skipped_lines
+from morphlake.sinks.logs import LogWriter, to_json
+from morphlake.sources.tables import seen_words, skipped_lines, stream_jsonl
 from morphlake.sources.text import lines, source
-from morphlake.streaming.words import distinct_words, run_once
+from morphlake.streaming.words import distinct_words, file_stream, process_stream, run_once
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -115,6 +115,12 @@ def whole_file_words(spark, d):
     return words(source(spark, path)).groupBy("word").agg(F.count("*").alias("n"))
 
 
+def malformed_utf8(spark, d):
+    """The texts without their last byte, which cuts a character of several bytes."""
+    rows = table(spark, d, "get_batch").where("text <> ''").select("row_id", F.encode("text", "UTF-8").alias("b"))
+    return rows.select("row_id", valid_text(F.substring("b", F.lit(1), F.length("b") - 1)).alias("text"))
+
+
 # --- words
 
 
@@ -238,6 +244,16 @@ def bies_segments(spark, d):
     return _tagged(spark, d).select("case_id", F.posexplode("d.morphemes").alias("seg", "m")).select("case_id", "seg", "m.text", "m.type_id", "m.confidence")
 
 
+def window_segments(spark, d):
+    """The segments once more, by windows over a row for each character."""
+    rows = table(spark, d, "tagged").where("word is not null and labels is not null and confs is not null")
+    n = F.least(F.char_length("word"), F.size("labels"), F.size("confs"))
+    cut = [F.slice(c, F.lit(1), n).alias(name) for name, c in (("ch", chars("word")), ("tag", tag_columns(F.col("labels"), by_name=True)), ("conf", F.col("confs")))]
+    places = rows.select("case_id", *cut).select("case_id", F.posexplode(F.arrays_zip("ch", "tag", "conf")).alias("pos", "x"))
+    found = segments_by_window(places.select("case_id", "pos", "x.ch", "x.tag.prefix", "x.tag.type_id", "x.conf"), "case_id")
+    return found.select("case_id", "text", "type_id", "confidence")
+
+
 def bies_repaired(spark, d):
     return _tagged(spark, d).where("d is not null").select("case_id", "d.repaired", F.size("d.morphemes").alias("n_segments"))
 
@@ -261,11 +277,14 @@ def rounded_confidences(spark, d):
     return _scored(spark, d, rounded=True).select("word", "confidence", (F.coalesce("confidence", F.lit(0.0)) >= PROMOTED).alias("promoted"))
 
 
+_SCORES = [[((c * 7 + k * 11) % 32) / 32 for k in range(len(LABELS))] for c in range(len(CHARS))]
+
+
 def network_scores(spark, d):
     """Labels and confidences by a network in ONNX form, which looks the scores of a character up."""
     path = os.path.join(tempfile.mkdtemp(prefix="morphlake-network-"), "look-up.onnx")
     atexit.register(shutil.rmtree, os.path.dirname(path), ignore_errors=True)
-    table_network(path, [[((c * 7 + k * 11) % 32) / 32 for k in range(len(LABELS))] for c in range(len(CHARS))])  # shipped by addFile
+    table_network(path, _SCORES)  # shipped by addFile
     return OnnxScorer(path, device="cpu").score(_scorable(spark, d)).select("word", ids_text(F.col("tag_ids")).alias("labels"), F.aggregate("confs", F.lit(0.0), lambda a, x: a + x).alias("conf_sum"))
 
 
@@ -342,6 +361,45 @@ def stream_dedup(spark, d):
     return spark.read.schema("word string").parquet(out)
 
 
+def file_stream_words(spark, d):
+    """Each word of text files that come in as a stream, by lines, once."""
+    folder, out = new_path(spark, "text-stream"), new_path(spark, "file-words")
+    table(spark, d, "get_batch").where("text is not null").select("text").write.text(folder)
+    run_once(distinct_words(file_stream(spark, folder)), out, f"{out}-checkpoint")
+    return spark.read.schema("word string").parquet(out)
+
+
+def stream_process(spark, d):
+    """The new words of a stream of texts scored and logged, each once."""
+    folder, log = new_path(spark, "texts"), LogWriter(new_path(spark, "stream-log"))
+    texts(spark, d).where("text is not null").write.parquet(folder)
+    stream = spark.readStream.schema("row_id bigint, text string").parquet(folder)
+    process_stream(stream, ArithmeticScorer(), table(spark, d, "base_dict"), log, new_path(spark, "stream-log-checkpoint"))
+    return log.read(spark).select("word", joined(F.col("morphemes")).alias("morphemes"), "repaired", "validated")
+
+
+def bundle_process(spark, d):
+    """The texts processed by the engine of a model bundle in the shared folder: settings, lexicon, log and network."""
+    folder = new_path(spark, "bundle")
+    files = {"weights": "net.onnx", "base_dict": "words.parquet", "output": "log"}
+    to_json({"model_specs": {"name": "look-up", "maxlen": MAX_WORD}, "mapping": {"label2id": LABELS, "tokenizer_vocab": CHARS}, "resources": files}, f"{folder}/config.json", spark)
+    table(spark, d, "base_dict").write.parquet(f"{folder}/words.parquet")
+    with tempfile.TemporaryDirectory(prefix="morphlake-network-") as local:
+        path = table_network(os.path.join(local, "net.onnx"), _SCORES)
+        at, fs = folder_of(spark, f"{folder}/net.onnx")
+        fs.copyFromLocalFile(folder_of(spark, f"file://{path}")[0], at)
+    engine = Engine.from_pretrained(spark, folder, device="cpu")
+    return engine.process(texts(spark, d)).select("word", joined(F.col("morphemes")).alias("morphemes"), "repaired", "model")
+
+
+def jsonl_rows(spark, d):
+    """The log as JSON lines with objects, read back strictly: what a malformed line would stop."""
+    path = new_path(spark, "strict-log")
+    LogWriter(path, "json").write(table(spark, d, "predictions").where("word is not null"))
+    rows = stream_jsonl(spark, path)
+    return rows.groupBy("model", "validated").agg(F.count("*").alias("n"), F.count("confidence").alias("n_confidence"), F.sum(F.size("morphemes")).alias("n_morphemes"))
+
+
 # --- tag sets
 
 
@@ -387,11 +445,11 @@ def p6_once(spark, d):
 QUERIES = {
     f.__name__.rstrip("_"): f
     for f in (
-        token_type_histogram, token_types_agree, token_mask_filter, token_length_filter, tokens_lower, char_types, token_batches, token_concat, mask_batches, file_tokens, whole_file_words,
+        token_type_histogram, token_types_agree, token_mask_filter, token_length_filter, tokens_lower, char_types, token_batches, token_concat, mask_batches, file_tokens, whole_file_words, malformed_utf8,
         word_frequency, distinct_words_, first_occurrence, word_length_filter, words_not_in_lexicon, words_unseen, words_in_lexicon, registry_members,
         lexicon_lookup, sorted_word_chunks, registry_upsert, promoted_words, seen_union, index_sizes, well_formed_log,
-        encode_words, encode_lower, encode_pad, decode_ids, argmax_labels, label_vocab, morpheme_type_names, bies_segments, bies_repaired, word_confidences,
-        predictions_, rounded_confidences, network_scores, morphemes_by_type, lexicon_scorer, predict_end_to_end, engine_predict, engine_restart_log, engine_restart_session, process_log_roundtrip, log_skip_malformed, stream_dedup,
+        encode_words, encode_lower, encode_pad, decode_ids, argmax_labels, label_vocab, morpheme_type_names, bies_segments, window_segments, bies_repaired, word_confidences,
+        predictions_, rounded_confidences, network_scores, morphemes_by_type, lexicon_scorer, predict_end_to_end, engine_predict, engine_restart_log, engine_restart_session, process_log_roundtrip, log_skip_malformed, stream_dedup, file_stream_words, stream_process, bundle_process, jsonl_rows,
         tagset_lookup, tag_crosswalk, root_families, lexicon_coverage, repaired_rate, p6_found, p6_once,
     )
 }
@@ -486,6 +544,9 @@ def _answers(kept: str = "true") -> str:
       from f left join ok on ok.word = f.word left join base_dict b on b.word = f.word where ok.morphemes is not null or b.morphemes is not null"""
 
 
+_BEST = """
+      s as (select id, k::int as k, ((id * 7 + k * 11) % 32) / 32.0::double as sc from (select distinct id from ids), range(27) as r(k)),
+      b as (select id, max(sc) as sc, min(k) filter (where sc = m) as k from (select *, max(sc) over (partition by id) as m from s) group by id)"""
 _B = r"[\s\x{00A0}\x{2000}-\x{200A}\x{202F}\x{3000}]+"
 
 
@@ -554,14 +615,14 @@ SQL = {
     "morpheme_type_names": f"""with m as (select unnest(morphemes) as m from base_dict), n as (select m.type_id as type_id, count(*) as n from m group by 1)
       select n.type_id, name, n from n left join {_values([(i, s) for i, s in MORPHEME_NAMES.items()], "type_id, name")} on t.type_id = n.type_id""",
     "bies_segments": f"{_CASES} select k as case_id, seg, text, type_id, confidence from gs",
+    "window_segments": f"{_CASES} select k as case_id, text, type_id, confidence from gs",
+    "malformed_utf8": """select row_id, text[:-2] || case when ord(text[-1]) > 127 then chr(65533) else '' end as text from get_batch where text <> ''""",
     "bies_repaired": f"""{_CASES} select t.case_id, coalesce(rp.repaired, false) as repaired, count(gs.k) as n_segments
       from t left join rp on rp.k = t.case_id left join gs on gs.k = t.case_id group by 1, 2""",
     "word_confidences": "select case_id, list_avg(confs[1:length(word)]) as confidence from tagged where word is not null",
     "predictions": f"{_SCORED} select * from made",
     "rounded_confidences": f"{_SCORED}, q as (select word, {_ROUNDED} as confidence from ex) select word, confidence, confidence >= 0.85 as promoted from q",
-    "network_scores": f"""{_WORDS}, {_ids(_SHORT)},
-      s as (select id, k::int as k, ((id * 7 + k * 11) % 32) / 32.0::double as sc from (select distinct id from ids), range(27) as r(k)),
-      b as (select id, max(sc) as sc, min(k) filter (where sc = m) as k from (select *, max(sc) over (partition by id) as m from s) group by id)
+    "network_scores": f"""{_WORDS}, {_ids(_SHORT)}, {_BEST}
       select word, string_agg(b.k::varchar, ' ' order by i) as labels, sum(b.sc) as conf_sum from ids join b on b.id = ids.id group by word""",
     "morphemes_by_type": f"{_SCORED} select type_id, count(*) as n, count(distinct text) as texts from g group by type_id",
     "lexicon_scorer": f"""select word, case when array_to_string(list_transform(morphemes, lambda m: m.text), '') = word
@@ -575,6 +636,14 @@ SQL = {
     "process_log_roundtrip": f"{_SCORED} select word, morphemes, repaired, validated from made",
     "log_skip_malformed": "select count(distinct word) as words, 3::bigint as skipped from seen where word is not null and length(word) between 1 and 64",
     "stream_dedup": f"{_WORDS} select distinct word from w",
+    "file_stream_words": f"{_WORDS} select distinct word from w",
+    "stream_process": f"{_SCORED} select word, morphemes, repaired, validated from made",
+    "bundle_process": f"""{_WORDS}, lv as (select * from {_LABELS}), {_ids(_SHORT)}, {_BEST},
+      c as (select word as k, i, ch, lv.prefix, lv.type_id, b.sc as conf from ids join b on b.id = ids.id join lv on lv.id = b.k),{_BIES},
+      mm as (select k, string_agg(text || ':' || type_id, '|' order by sg) as morphemes from g group by k)
+      select rp.k as word, coalesce(mm.morphemes, '') as morphemes, rp.repaired, 'look-up' as model from rp left join mm on mm.k = rp.k""",
+    "jsonl_rows": """select model, validated, count(*) as n, count(confidence) as n_confidence, sum(len(morphemes))::bigint as n_morphemes
+      from predictions where word is not null group by model, validated""",
     "tagset_lookup": f"select standard, category, tag, tag_id from {_TAGS} union all select 'UPOS', 'POS', 'NOPE', 1",
     "tag_crosswalk": f"""select t.standard, t.category, t.tag, x.upos_tag from {_TAGS} left join
       (select * from {_values(crosswalk_rows(), "s, c, tag, upos_tag")}) x on x.s = t.standard and x.c = t.category and x.tag = t.tag where t.standard <> 'UPOS'""",

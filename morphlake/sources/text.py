@@ -11,7 +11,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from morphlake.functions.lexer import exploded
+from morphlake.functions.lexer import exploded, valid_text
 from morphlake.operators.shared import path_exists
 from morphlake.schema import ALL_TOKENS, TOKEN_BATCH
 
@@ -88,7 +88,7 @@ def files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
         if "PATH_NOT_FOUND" in str(e):
             raise FileNotFoundError(str(paths)) from e
         raise
-    return df.select(F.xxhash64("path").alias("doc_id"), "path", F.expr("make_valid_utf8(cast(content as string))").alias("text"))
+    return df.select(F.xxhash64("path").alias("doc_id"), "path", valid_text(F.col("content")).alias("text"))
 
 
 def lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
@@ -107,7 +107,7 @@ def lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
             raise FileNotFoundError(str(paths)) from e
         raise
     path = F.col("_metadata.file_path")
-    return rows.select(F.xxhash64(path).alias("doc_id"), path.alias("path"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("line"), F.concat(F.expr("make_valid_utf8(value)"), F.lit("\n")).alias("text"))
+    return rows.select(F.xxhash64(path).alias("doc_id"), path.alias("path"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("line"), F.concat(valid_text(F.col("value")), F.lit("\n")).alias("text"))
 
 
 def source(spark: SparkSession, what: DataFrame | str | os.PathLike, text_col: str = "text") -> DataFrame:
