@@ -14,6 +14,7 @@ import unicodedata
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -77,22 +78,24 @@ def nearest(passages: list[str], found: list[str], min_words: int, most: int) ->
     return best
 
 
+class _Known(dict):
+    """Word -> 64-bit hash, made when it is first asked for."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > 500_000:
+            self.clear()
+        self[word] = h = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
+        return h
+
+
 class Hashes:
-    """64-bit hashes of words, and of all runs of `size` words."""
+    """64-bit hashes of all runs of `size` words."""
 
     def __init__(self, size: int):
-        self.size, self.known = size, {}
+        self.size, self.known = size, _Known()
 
     def __call__(self, own: list[str]) -> np.ndarray:
-        from xxhash import xxh3_64_intdigest
-
-        known = self.known
-        if len(known) > 500_000:
-            known.clear()
-        for w in own:
-            if w not in known:
-                known[w] = xxh3_64_intdigest(w.encode("utf-8", "surrogatepass"))
-        one = np.fromiter((known[w] for w in own), np.uint64, len(own))
+        one = np.fromiter(map(self.known.__getitem__, own), np.uint64, len(own))
         n = len(own) - self.size + 1
         x = np.zeros(max(n, 0), np.uint64)
         for k in range(self.size if n > 0 else 0):

@@ -13,6 +13,7 @@ _BREAK = re.compile(r"(?i)<(?:br|/?p|/?div|/?li|/?tr|/?h[1-6]|/?ul|/?ol|/?table|
 _HIDDEN = re.compile(r"(?is)<(script|style|head)\b.*?(?:</\1\s*>|\Z)|<!--.*?(?:-->|\Z)")
 _TAG = re.compile(r"</?[a-zA-Z][^<>]*>|<![^<>]*>")
 _NOT_BASE64 = re.compile(r"[^A-Za-z0-9+/]")
+_DELIMITER = re.compile(r"(?m)^--([^\r\n]*?)[ \t]*\r?(?:\n|\Z)")
 #: Quote marks at the start of a line.
 QUOTE = re.compile(r"(?m)^(?:[ \t]*[>|])+[ \t]*")
 
@@ -36,6 +37,12 @@ def visible(markup: str) -> str:
     return html.unescape(_TAG.sub("", _BREAK.sub("\n", _HIDDEN.sub("", markup))))
 
 
+def _pieces(body: str, boundary: str) -> list[str]:
+    """What stands after each line of a boundary, up to the next or the end."""
+    lines = [m for m in _DELIMITER.finditer(body) if m[1] == boundary or m[1] == f"{boundary}--"]
+    return [body[m.end() : n] for m, n in zip(lines, [*(m.start() for m in lines[1:]), len(body)])]
+
+
 def text_parts(message: str) -> list[str]:
     """The text parts and text attachments of a message, decoded and without markup, however deep they lie.
 
@@ -60,8 +67,7 @@ def text_parts(message: str) -> list[str]:
             else:
                 encoding = value.strip().lower()
         if kind.startswith("multipart/") and params.get("boundary"):
-            pieces = re.split(rf"(?m)^--{re.escape(params['boundary'])}(?:--)?[ \t]*\r?(?:\n|\Z)", body)
-            todo += [(piece, True) for piece in reversed(pieces[1:])]
+            todo += [(piece, True) for piece in reversed(_pieces(body, params["boundary"].rstrip(" \t")))]
         elif kind == "message/rfc822":
             todo.append((_decoded(body, encoding, params.get("charset", "")), True))
         elif kind.startswith("text/"):
