@@ -12,7 +12,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterable
+from collections.abc import Iterable, Mapping
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -62,27 +62,30 @@ BELIEVED = re.compile(r"[\x80-ɏЀ-џҐґ‐-⁄€№™─-▟√≤≥ˆ˜\u0
 LEAST = {"cp1252": 1, "cp866": 1, "cp1251": 2, "koi8-r": 2, "mac-cyrillic": 2}
 #: What a reading has to gain over another, in nats.
 MARGIN = 9.0
+#: The number of words as which a larger lexicon counts against COMMON_WORDS and the smoothing, so that what MARGIN
+#: means doesn't drift with the lexicon's size. All its words count, each for less.
+FULL_WEIGHT = 20_000
 #: Line drawing, which only misread text has.
 _BOX = re.compile(r"[─-▟]")
 #: Nothing outside this needs a closer look: ordinary characters, ordinary letter case.
 SUSPECT = re.compile(r"[^а-яёА-ЯЁa-zA-Z0-9\s.,!?:;…«»„“\"'()\[\]/%+=*&@#<>{}|\\^~`$_—–№-]|[А-ЯЁ]{2}|[а-яё][А-ЯЁ]|[–—][А-Я][–—]|[–—][а-яёА-Я]+[–—]")
 _LETTERS = "абвгдежзийклмнопрстуфхцчшщъыьэюяё"
+_ALPHABET = " " + _LETTERS  # the blank stands for a word's edge
 _RUSSIAN_WORD = re.compile(r"[А-ЯЁа-яё]+")
 
 
 class LetterModel:
-    """Log-probabilities of Russian letter pairs, word edges included, fitted on a list of words."""
+    """Log-probabilities of Russian letter pairs, word edges included, fitted on a list of words or on counts of pairs."""
 
-    def __init__(self, words: Iterable[str]):
-        pairs: Counter[str] = Counter()
+    def __init__(self, words: Iterable[str] = (), counts: Mapping[str, float] | None = None):
+        pairs: Counter[str] = Counter(counts)
         for w in [*words, *COMMON_WORDS * 20]:
             w = " " + w.lower() + " "
             pairs.update(w[i : i + 2] for i in range(len(w) - 1))
-        alphabet = " " + _LETTERS
         self.logp: dict[str, float] = {}
-        for a in alphabet:
-            total = sum(pairs[a + b] for b in alphabet) + 0.5 * len(alphabet)
-            for b in alphabet:
+        for a in _ALPHABET:
+            total = sum(pairs[a + b] for b in _ALPHABET) + 0.5 * len(_ALPHABET)
+            for b in _ALPHABET:
                 self.logp[a + b] = math.log((pairs[a + b] + 0.5) / total)
         self.floor = min(self.logp.values()) - 1
         self._known: dict[str, float] = {}
@@ -249,11 +252,15 @@ def restore(text: str, model: LetterModel, find_only: bool = False) -> tuple[boo
     return found or remapped or plain != text, best
 
 
-def fit_model(lexicon: DataFrame, word_col: str = "word", most_words: int = 20_000) -> LetterModel:
-    """The letter model of a lexicon, fitted on a bounded sample of its words: the most_words first by hash (34 x 34
-    counts need no more)."""
-    rows = lexicon.select(F.col(word_col).alias("w")).where(F.length("w") > 1).orderBy(F.xxhash64("w"), "w").limit(most_words).collect()
-    return LetterModel(r.w for r in rows)
+def fit_model(lexicon: DataFrame, word_col: str = "word", full_weight: int = FULL_WEIGHT) -> LetterModel:
+    """The letter model of a lexicon, fitted on the pairs of all its words; 34 x 34 counts reach the driver."""
+    edged = F.lower(F.concat(F.lit(" "), F.col(word_col), F.lit(" ")))
+    pairs = F.regexp_extract_all(edged, F.lit(f"(?=([{_ALPHABET}]{{2}}))"), F.lit(1))
+    rows = lexicon.where(F.length(word_col) > 1).select(F.explode(F.concat(F.array(F.lit("")), pairs)).alias("pair"))  # "" counts the words
+    counts = rows.groupBy("pair").agg(F.count("*").alias("n")).collect()
+    found = {r.pair: r.n for r in counts}
+    weight = min(1.0, full_weight / max(1, found.pop("", 0)))
+    return LetterModel(counts={pair: n * weight for pair, n in found.items()})
 
 
 def garbled(df: DataFrame, model: LetterModel, id_col: str = "row_id", text_col: str = "text") -> DataFrame:

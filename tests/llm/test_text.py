@@ -1,10 +1,11 @@
+import math
 import random
 import re
 import unicodedata
 
 import pytest
 
-from morphlake.llm.encoding import LetterModel, fit_model, page_chars, restore, restored
+from morphlake.llm.encoding import COMMON_WORDS, LetterModel, fit_model, page_chars, restore, restored
 from morphlake.llm.encoding import garbled as garbled_rows
 from morphlake.llm.lookalike import look_alike_classes, look_alikes, skeleton, skeleton_of, with_skeleton
 
@@ -96,6 +97,16 @@ def test_restored_rows(spark, model):
     assert restore(bad, fit_model(lexicon))[0]
 
 
+def test_model_counts_all_words(spark):
+    odd = ["И", "яЁ", "Ёлка-Ель", "naïve", "в общем", "İjИ", "😀жж", "", None, "ж" * 5000]
+    few = [*WORDS, *odd]
+    assert fit_model(spark.createDataFrame([(w,) for w in few], "word string")).logp == LetterModel(w for w in few if w and len(w) > 1).logp
+    many = [w + c for w in WORDS for c in ("", "ся", "сь", "те")] * 40 + ["щж" + w for w in WORDS]  # 28,980 words
+    got = fit_model(spark.createDataFrame([(w,) for w in many], "word string").repartition(5))
+    edges = {a: sum(w[0] == a for w in many) * 20_000 / len(many) + 20 * sum(w[0] == a for w in COMMON_WORDS) + 0.5 for a in "абвгдежзийклмнопрстуфхцчшщъыьэюяё"}
+    assert all(got.logp[" " + a] == pytest.approx(math.log(n / (sum(edges.values()) + 0.5))) for a, n in edges.items())
+
+
 SAME = [("мама", "mama".replace("m", "м")), ("кот", "ко​т"), ("а б", "а б"), ("ABC 12", "ＡＢＣ　１２"), ("й", "й"), ("ё", "ё"), ("вο", "во"), ("сор", "cop"), ("да­", "да"), ("café", "café")]
 OTHER = [("ё", "е"), ("й", "и"), ("№", "No"), ("«а»", '"а"'), ("а  б", "а б"), ("а\tб", "а б"), ("а\nб", "а б"), ("Кот", "кот"), ("1", "l"), ("3", "З"), ("0", "О")]
 
