@@ -107,6 +107,17 @@ def test_model_counts_all_words(spark):
     assert all(got.logp[" " + a] == pytest.approx(math.log(n / (sum(edges.values()) + 0.5))) for a, n in edges.items())
 
 
+def test_words_that_hash_last_count(spark):
+    """A lexicon of more words than a sample of 20,000 has, of which those like the text's come last by hash."""
+    rng = random.Random(8)
+    like = lambda letters, n: spark.createDataFrame([("".join(rng.choice(letters) for _ in range(7)),) for _ in range(n)], "word string")
+    lexicon = like("абвгде", 48_000).where("xxhash64(word) < 0").union(like("ноипрст", 9_000).where("xxhash64(word) > 0"))
+    text = " ".join("".join(rng.choice("ноипрст") for _ in range(7)) for _ in range(8))
+    df = spark.createDataFrame([(1, garbled(text, "koi8-r", "cp1251")), (2, text)], "row_id bigint, text string")
+    model = fit_model(lexicon)
+    assert [tuple(r) for r in restored(df, model).collect()] == [(1, text)] and [r.row_id for r in garbled_rows(df, model).collect()] == [1]
+
+
 SAME = [("мама", "mama".replace("m", "м")), ("кот", "ко​т"), ("а б", "а б"), ("ABC 12", "ＡＢＣ　１２"), ("й", "й"), ("ё", "ё"), ("вο", "во"), ("сор", "cop"), ("да­", "да"), ("café", "café")]
 OTHER = [("ё", "е"), ("й", "и"), ("№", "No"), ("«а»", '"а"'), ("а  б", "а б"), ("а\tб", "а б"), ("а\nб", "а б"), ("Кот", "кот"), ("1", "l"), ("3", "З"), ("0", "О")]
 
