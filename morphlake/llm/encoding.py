@@ -253,7 +253,8 @@ def restore(text: str, model: LetterModel, find_only: bool = False) -> tuple[boo
 
 
 def fit_model(lexicon: DataFrame, word_col: str = "word", full_weight: int = FULL_WEIGHT) -> LetterModel:
-    """The letter model of a lexicon, fitted on the pairs of all its words; 34 x 34 counts reach the driver."""
+    """The letter model of a lexicon, fitted on the pairs of all its words of two letters or more; 34 x 34 counts reach
+    the driver."""
     edged = F.lower(F.concat(F.lit(" "), F.col(word_col), F.lit(" ")))
     pairs = F.regexp_extract_all(edged, F.lit(f"(?=([{_ALPHABET}]{{2}}))"), F.lit(1))
     rows = lexicon.where(F.length(word_col) > 1).select(F.explode(F.concat(F.array(F.lit("")), pairs)).alias("pair"))  # "" counts the words
